@@ -37,6 +37,27 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("mix_key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sitescope.llm import idfile
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return idfile.read(idfile.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitescope.llm import pages
+
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitescope.llm import embeddings
+
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +78,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op2_source_mixing": op2_source_mixing,
+    "op4_token_id_files": op4_token_id_files,
+    "op5_html_extraction": op5_html_extraction,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_language_id": op9_language_id,
 }
