@@ -37,6 +37,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("mix_key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitescope.llm import lines
+
+    return lines.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitescope.llm import jaccard
+
+    return jaccard.link_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,14 +87,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitescope.llm import katz
+
+    out = katz.score(read(spark, sf_dir, "documents"), ~held_out("doc_id", 7))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op2_source_mixing": op2_source_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_id_files": op4_token_id_files,
     "op5_html_extraction": op5_html_extraction,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_language_id": op9_language_id,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 SQL: dict[str, str] = {}
