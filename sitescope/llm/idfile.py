@@ -170,9 +170,6 @@ def encode_ids(ids: np.ndarray, id_bits: int = 16, block: int = BLOCK) -> bytes:
     grid = np.ascontiguousarray(grid.T)
     m, w = _Model(lanes, id_bits), _Writer(lanes, block)
     for t in range(int(sizes[0])):
-        if t == sizes[-1] and lanes > 1 and sizes[-1] < block:
-            m_cut = lanes - 1  # the last block has ended; its lane idles
-            grid[t:, -1] = 0
         x = grid[t]
         m.look()
         slot = m.slot(x)
@@ -304,7 +301,7 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_i
             yield segment()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return materialize(ordered.mapInArrow(run, _SEGMENTS), "token-ids")
 

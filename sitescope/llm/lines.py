@@ -25,27 +25,34 @@ replaced.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import SPACES, drop_table, materialize, partitions, release_shuffles, without
+from sitescope.llm.common import delete, drop_table, materialize, partitions, release_shuffles, shared_dir, without
 
 NUM, DEN = 80, 100
-SKETCH_BITS = 16
+SKETCH_BITS = 20
 FILTER_BITS = 22
 #: At most so many lines are hot: those with more than this part of all lines.
 HOT = 4096
+LINES_PER_BUCKET = 100_000
+#: Most removed lines that are broadcast; more are joined by exchange.
+BROADCAST_LINES = 1_000_000
 #: Null ids come before all others.
 NO_ID = -(1 << 63)
 
 
 def _words(line):
-    flat = F.translate(line, SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(flat, " "), "")
+    """Words of a line; the rare other white space takes the slow way."""
+    odd = line.rlike(r"[\t\x0B\f\r]")
+    words = F.when(odd, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    return F.array_remove(words, "")
 
 
 def _has_word(line):
-    return F.trim(F.translate(line, SPACES[1:], " " * (len(SPACES) - 1))) != ""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _lines(text):
@@ -60,9 +67,24 @@ def _table(rows: DataFrame, slots: int) -> DataFrame:
     return every.agg(F.transform(pairs, lambda e: e["n"]).alias("counts"))
 
 
+def _bucketed(df: DataFrame, buckets: int, by: str):
+    """``df`` (already dealt by ``by``) as a bucketed table in the shared
+    folder, and a function that deletes it."""
+    spark = df.sparkSession
+    name = f"lines_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        delete(spark, path)
+
+    return spark.table(name), drop
+
+
 def token_counts(docs: DataFrame, text: str) -> DataFrame:
     """One row: the bucket counts of all tokens of all lines."""
-    t = docs.select(F.explode(F.split(F.translate(F.col(text), SPACES[1:], " " * 5), " ")).alias("w"))
+    t = docs.select(F.explode(F.split(F.col(text), "[ \n]")).alias("w"))
     t = t.select(F.pmod(F.xxhash64("w"), F.lit(1 << SKETCH_BITS)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     return _table(t, 1 << SKETCH_BITS)
 
@@ -93,56 +115,70 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     def with_set(lines: DataFrame) -> DataFrame:
         """Adds the line's tokens, rarest first."""
         lines = lines.withColumn("table", rarity)
-        return lines.withColumn("set", F.sort_array(F.array_distinct(F.transform(_words("line"), lambda w: token(w, F.col("table"))))))
+        return lines.withColumn("set", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: token(w, F.col("table"))))))
 
+    # a bit for each token's hash: two sets differ in at least the bits in which they differ
+    bit_of = lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(63)).cast("int")))
     prefix = with_set(at).select("doc", "no", "lh", F.size("set").alias("n"), "set")
     prefix = prefix.withColumn("p", F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
-    rows = prefix.select("doc", "no", "lh", "n", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("pos", "token"))
-    # one exchange, by token; copies of a line become one row behind it
-    rows = rows.repartition(partitions(spark), "token").groupBy("token", "lh", "n", "pos").agg(F.min("doc").alias("doc"), F.min("no").alias("no"))
-    of = Window.partitionBy("token")
-    rows = rows.withColumn("k", F.count("*").over(of)).where("k > 1").withColumn("e_lh", F.min(F.struct("doc", "no", "lh")).over(of)["lh"])
-    rows = materialize(rows.drop("k"), "lines-rows", sweep=True)
-
-    # sets of the lines that have a candidate; a fixed bit table spares most of the others
-    wanted = rows.select("lh").distinct()
-    bit = F.pmod(F.xxhash64("lh"), F.lit(1 << FILTER_BITS))
-    bits = wanted.select(F.shiftright(bit, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b"))
-    bits = materialize(_table(bits.groupBy("slot").agg(F.bit_or("b").alias("n")), 1 << (FILTER_BITS - 6)), "lines-bits").scalar()
-    maybe = at.withColumn("bits", bits).where(
-        F.call_function("shiftright", F.element_at("bits", F.shiftright(bit, 6).cast("int") + 1), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    ).drop("bits")
-    members = with_set(maybe).select("lh", "set").join(wanted, "lh", "left_semi").dropDuplicates(["lh"])
-    members = materialize(members, "lines-sets", sweep=True)
-
+    prefix = prefix.withColumn("bits", F.aggregate("set", F.lit(0).cast("long"), bit_of))
     def alike(a, b):
         return F.greatest(a, b) * num <= F.least(a, b) * den
 
+    def may_match(a: str, b: str):
+        """Length, positional and bitmap filters for two rows of a token."""
+        n = F.col(f"{a}n") + F.col(f"{b}n")
+        # tokens from the shared one on, and those before it, bound the overlap
+        position = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + F.least(F.col(f"{a}pos"), F.col(f"{b}pos"))
+        differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
+        return alike(F.col(f"{a}n"), F.col(f"{b}n")) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines ``b`` of pairs that do match."""
+        pairs = materialize(pairs.distinct(), "lines-pairs", sweep=True)
+        # sets of the lines that have a candidate; a fixed bit table spares most of the others
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
+        bit = F.pmod(F.xxhash64("lh"), F.lit(1 << FILTER_BITS))
+        flags = wanted.select(F.shiftright(bit, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b"))
+        flags = materialize(_table(flags.groupBy("slot").agg(F.bit_or("b").alias("n")), 1 << (FILTER_BITS - 6)), "lines-bits").scalar()
+        maybe = at.withColumn("flags", flags).where(
+            F.call_function("shiftright", F.element_at("flags", F.shiftright(bit, 6).cast("int") + 1), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        ).drop("flags")
+        members = with_set(maybe).select("lh", "set").join(wanted, "lh", "left_semi").dropDuplicates(["lh"])
+        members = materialize(members, "lines-sets", sweep=True)
         a = members.select(F.col("lh").alias("a"), F.col("set").alias("sa"))
         b = members.select(F.col("lh").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(a, "a").join(b, "b").where(alike(F.size("sa"), F.size("sb")))
+        both = pairs.join(a, "a").join(b, "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("b").distinct()
+        out = both.where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("b").distinct()
+        out = materialize(out, "lines-gone", sweep=True)
+        drop_table(members)
+        return out
+
+    # one exchange, by token, into buckets that later joins read in place
+    buckets = max(partitions(spark), n_lines // LINES_PER_BUCKET)
+    rows = prefix.select("doc", "no", "lh", "n", "bits", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("pos", "token")).repartition(buckets, "token")
+    of = Window.partitionBy("token")
+    rows = rows.withColumns({"one": F.min("lh").over(of) == F.max("lh").over(of), "e": F.min(F.struct("doc", "no", "lh", "n", "bits", "pos")).over(of)}).where("NOT one")
+    rows = rows.select("*", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("lh", "n", "bits", "pos")])
+    star = F.when((F.col("lh") != F.col("e_lh")) & may_match("", "e_"), F.col("e_lh"))
+    rows, drop_rows = _bucketed(rows.select("token", "lh", "n", "bits", "pos", "doc", "no", star.alias("star")), buckets, "token")
+    release_shuffles(spark)
 
     # each line against the earliest one of its prefix tokens
-    star = rows.where("lh <> e_lh").select(F.col("lh").alias("b"), F.col("e_lh").alias("a")).distinct()
-    gone = materialize(verified(materialize(star, "lines-star")), "lines-gone")
+    gone = verified(rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("lh").alias("b")))
 
     # lines still open against all earlier ones
-    left = rows.join(gone.withColumnRenamed("b", "lh"), "lh", "left_anti")
-    earlier = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("lh", "n", "pos", "doc", "no")])
-    later = left.select("token", "e_lh", *[F.col(c).alias(f"b_{c}") for c in ("lh", "n", "pos", "doc", "no")])
+    cols = ("lh", "n", "bits", "pos", "doc", "no")
+    earlier = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
+    later = rows.select("token", "star", *[F.col(c).alias(f"b_{c}") for c in cols])
+    done = gone.select(F.col("b").alias("b_lh"))
+    later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_lh", "left_anti")
     before = F.struct("a_doc", "a_no", "a_lh") < F.struct("b_doc", "b_no", "b_lh")
-    # tokens from the shared one on, and those before it, bound the overlap
-    position = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) + F.least("a_pos", "b_pos")
-    enough = position * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
-    pairs = later.join(earlier, "token").where(before & (F.col("a_lh") != F.col("e_lh")) & alike(F.col("a_n"), F.col("b_n")) & enough)
-    pairs = materialize(pairs.select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).distinct(), "lines-pairs")
-    gone = materialize(gone.unionByName(verified(pairs)), "lines-gone")
-    drop_table(rows)
-    drop_table(members)
+    other = F.col("star").isNull() | (F.col("a_lh") != F.col("star"))
+    pairs = later.join(earlier, "token").where(before & other & may_match("a_", "b_"))
+    gone = gone.unionByName(verified(pairs.select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b"))))
+    drop_rows()
     release_shuffles(spark)
 
     stays = first.join(gone.withColumnRenamed("b", "lh"), "lh", "left_anti").groupBy("doc").agg(F.collect_list("lh").alias("stay"))

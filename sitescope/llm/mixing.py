@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import SPACES, materialize
+from sitescope.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -32,8 +32,7 @@ SEED = "wfq"
 
 def word_count(text) -> F.Column:
     """Number of words of a text; 0 for null."""
-    flat = F.translate(text, SPACES[1:], " " * (len(SPACES) - 1))
-    return F.coalesce(F.size(F.array_remove(F.split(flat, " "), "")), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]"), "")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:

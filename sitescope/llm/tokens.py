@@ -1,18 +1,20 @@
 """Tokenizing whole texts with the tokenizers library, word by word.
 
-Both vocabularies here never merge across the white space between two words,
-so a text's ids are those of its pieces.  A cache of pieces spares encoding
-the same words again; texts with special token strings, or white space that
-may belong to a neighbour, are encoded whole.
+Both vocabularies here never merge across the space between two words, so a
+text's ids are those of its pieces between spaces.  A cache of pieces spares
+encoding the same words again, and all new pieces are encoded as one text.
+A text with a special token's string, or with a space beside other white
+space or at an end, is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 700_000
 
 
 class _Pieces(dict):
@@ -31,8 +33,8 @@ class _Pieces(dict):
 class CachedEncoder:
     """``encode`` equals ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    ``spaced``: a piece carries the space before it (byte-level vocabularies);
-    else white space is dropped by the tokenizer.
+    ``spaced``: ids spell the text's bytes, and a piece carries the space
+    before it (byte-level vocabularies); else white space is dropped.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -41,6 +43,17 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        size = max(vocab.values()) + 1
+        if not spaced:
+            self.word_end = np.zeros(size, bool)
+            self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        else:
+            # one character of a byte-level token stands for one byte
+            self.n_bytes = np.zeros(size, np.int64)
+            for token, i in vocab.items():
+                self.n_bytes[i] = len(token)
         self._reset()
 
     def _reset(self) -> None:
@@ -49,19 +62,72 @@ class CachedEncoder:
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, pieces: list[str], first: int) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
+        self.odd = np.zeros(1 << 16, bool)
+
+    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, and how many each has."""
+        if not self.spaced:
+            # a word, and one sign after it, are an id with a word end each
+            ends = [1 if p.isalpha() else 2 if p[-1] in ",." and p[:-1].isalpha() else 0 for p in pieces]
+            plain = [p for p, e in zip(pieces, ends, strict=True) if e]
+            other = [p for p, e in zip(pieces, ends, strict=True) if not e]
+            n_ends = np.array(ends, np.int64)
+            counts = np.zeros(len(pieces), np.int64)
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(self.word_end[ids])
+            want = np.cumsum(n_ends[n_ends > 0])
+            if len(stop) != (want[-1] if len(want) else 0):
+                raise AssertionError("a word has more than one end")
+            counts[n_ends > 0] = np.diff(stop[want - 1] + 1, prepend=0)
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            counts[n_ends == 0] = np.fromiter(map(len, got), np.int64, len(got))
+            which = np.repeat(n_ends > 0, counts)
+            out = np.zeros(int(counts.sum()), np.uint32)
+            out[which], out[~which] = ids, np.fromiter((i for x in got for i in x), np.uint32)
+            return out, counts
+        # the first of a text has no space before it; the others are one text
+        first = [p[1:] for p in pieces if p[:1] == " "]
+        counts = np.zeros(len(pieces), np.int64)
+        rest = [p for p in pieces if p[:1] != " "]
+        done = {}
+        for lead, group in (("", first), (" ", rest)):
+            if not group:
+                done[lead] = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            elif lead:
+                ids = np.array(self.tokenizer.encode(lead + lead.join(group), add_special_tokens=False).ids, np.uint32)
+                ends = np.cumsum(self.n_bytes[ids])
+                want = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in group), np.int64, len(group)))
+                at = np.searchsorted(ends, want) + 1
+                if len(ends) and (ends[-1] != want[-1] or not np.array_equal(ends[at - 1], want)):
+                    raise AssertionError("a token reaches over a space")
+                done[lead] = (ids, np.diff(at, prepend=0))
+            else:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                n = np.fromiter(map(len, got), np.int64, len(got))
+                done[lead] = (np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())), n)
+        is_first = np.fromiter((p[:1] == " " for p in pieces), bool, len(pieces))
+        counts[is_first], counts[~is_first] = done[""][1], done[" "][1]
+        which = np.repeat(is_first, counts)
+        out = np.zeros(int(counts.sum()), np.uint32)
+        out[which], out[~which] = done[""][0], done[" "][0]
+        return out, counts
+
+    def _learn(self, pieces: list[str], known: int) -> None:
+        # a piece with white space at an end doesn't stand alone
+        odd = np.fromiter((not p or p != p.strip() for p in (x[1:] if x[:1] == " " else x for x in pieces)), bool, len(pieces))
+        plain = pieces if not odd.any() else [p for p, o in zip(pieces, odd.tolist(), strict=True) if not o]
+        ids, n_plain = self._encode_new(plain)
+        n = np.zeros(len(pieces), np.int64)
+        n[~odd] = n_plain
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(ids) > len(self.start):
-            self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.start[first : first + len(ids)] = self.used + np.cumsum(n) - n
-        self.length[first : first + len(ids)] = n
-        self.used += total
+        while known + len(pieces) > len(self.start):
+            self.start, self.length, self.odd = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.odd))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[known : known + len(pieces)] = self.used + np.cumsum(n) - n
+        self.length[known : known + len(pieces)] = n
+        self.odd[known : known + len(pieces)] = odd
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
@@ -70,43 +136,44 @@ class CachedEncoder:
         known = len(self.pieces)
         numbers: list[int] = []
         counts = np.zeros(len(texts), np.int64)
-        whole: list[int] = []
+        whole = np.zeros(len(texts), bool)
         get = self.pieces.__getitem__
         for i, t in enumerate(texts):
             if not t:
                 continue
-            words = t.split()
-            # only single spaces and line ends between words, none around
-            if len(words) != t.count(" ") + t.count("\n") + 1 or "<|" in t:
-                whole.append(i)
+            if "<|" in t:
+                whole[i] = True
                 continue
             if self.spaced:
                 words = t.split(" ")
-                before = len(numbers)
-                numbers.append(get(words[0]))
-                numbers += map(get, [" " + w for w in words[1:]])
-                counts[i] = len(numbers) - before
+                words[0] = " " + words[0]  # the mark of a text's first piece
             else:
-                numbers += map(get, words)
-                counts[i] = len(words)
+                words = t.split()
+            numbers += map(get, words)
+            counts[i] = len(words)
         if self.pieces.new:
             self._learn(self.pieces.new, known)
             self.pieces.new = []
         p = np.array(numbers, np.int64)
         n = self.length[p]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        odd = np.concatenate([[0], np.cumsum(self.odd[p])])
+        whole |= odd[at[1:]] > odd[at[:-1]]
+        if whole.any():
+            n[np.repeat(whole, counts)] = 0
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.start[p] - (ends - n), n) + np.arange(int(n.sum()))]
         edge = np.concatenate([[0], ends])
-        at = np.concatenate([[0], np.cumsum(counts)])
         lengths = edge[at[1:]] - edge[at[:-1]]
-        if not whole:
+        if not whole.any():
             return ids, lengths
+        which = np.flatnonzero(whole).tolist()
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        special = dict(zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True))
+        got = self.tokenizer.encode_batch([texts[i] for i in which], add_special_tokens=False)
         parts, last = [], 0
-        for i in whole:
-            parts += [ids[bounds[last] : bounds[i]], np.array(special[i].ids, np.uint32)]
-            lengths[i] = len(special[i].ids)
+        for i, e in zip(which, got, strict=True):
+            parts += [ids[bounds[last] : bounds[i]], np.array(e.ids, np.uint32)]
+            lengths[i] = len(e.ids)
             last = i
         parts.append(ids[bounds[last] :])
         return np.concatenate(parts), lengths
