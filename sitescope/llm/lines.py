@@ -4,8 +4,9 @@ A line is the set of its distinct words.  Its tokens are ordered by rarity:
 the count of a token's bucket in a table of ``2 ** SKETCH_BITS`` counts over
 all lines (a fixed size; the order only has to be the same everywhere for the
 join to be exact), then its hash.  Lines of Jaccard similarity ``num / den``
-or more share a token of their prefixes; candidates pass a length and a
-positional filter and are verified on their whole sets.
+or more share a token of their prefixes, and ``k`` tokens of prefixes that
+are ``k - 1`` tokens longer; candidates pass a length, a positional and a
+bitmap filter and are verified on their whole sets.
 
 The place of a distinct line is its first document and, there, its least line
 number in any document.  A line is removed wherever it isn't at its place,
@@ -37,6 +38,7 @@ SKETCH_BITS = 20
 FILTER_BITS = 22
 #: At most so many lines are hot: those with more than this part of all lines.
 HOT = 4096
+TOKENS_PER_MATCH = 24
 LINES_PER_BUCKET = 100_000
 #: Most removed lines that are broadcast; more are joined by exchange.
 BROADCAST_LINES = 1_000_000
@@ -51,6 +53,12 @@ def _words(line):
     return F.array_remove(words, "")
 
 
+def _matches(n: str):
+    """Prefix tokens that a line of ``n`` tokens must share with a match;
+    its prefix has as many tokens more, less one."""
+    return F.floor(F.col(n) / TOKENS_PER_MATCH).cast("int") + 1
+
+
 def _has_word(line):
     return line.rlike(r"[^\x20\x09-\x0D]")
 
@@ -120,7 +128,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     # a bit for each token's hash: two sets differ in at least the bits in which they differ
     bit_of = lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(63)).cast("int")))
     prefix = with_set(at).select("doc", "no", "lh", F.size("set").alias("n"), "set")
-    prefix = prefix.withColumn("p", F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
+    # long lines have longer prefixes and must share more of them
+    prefix = prefix.withColumn("p", F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + _matches("n"))
     prefix = prefix.withColumn("bits", F.aggregate("set", F.lit(0).cast("long"), bit_of))
     def alike(a, b):
         return F.greatest(a, b) * num <= F.least(a, b) * den
@@ -131,11 +140,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         # tokens from the shared one on, and those before it, bound the overlap
         position = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + F.least(F.col(f"{a}pos"), F.col(f"{b}pos"))
         differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
-        return alike(F.col(f"{a}n"), F.col(f"{b}n")) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
+        # a token counts for the pair if it is in both prefixes as long as the pair needs
+        both = F.least(_matches(f"{a}n"), _matches(f"{b}n"))
+        counts = F.lit(True)
+        for x in (a, b):
+            need = F.ceil(F.col(f"{x}n") * num / F.lit(den)).cast("int")
+            counts = counts & (F.col(f"{x}pos") < F.col(f"{x}n") - need + both)
+        return counts & alike(F.col(f"{a}n"), F.col(f"{b}n")) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines ``b`` of pairs that do match."""
-        pairs = materialize(pairs.distinct(), "lines-pairs", sweep=True)
+        pairs = materialize(pairs, "lines-pairs", sweep=True)
         # sets of the lines that have a candidate; a fixed bit table spares most of the others
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
         bit = F.pmod(F.xxhash64("lh"), F.lit(1 << FILTER_BITS))
@@ -158,26 +173,33 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     # one exchange, by token, into buckets that later joins read in place
     buckets = max(partitions(spark), n_lines // LINES_PER_BUCKET)
     rows = prefix.select("doc", "no", "lh", "n", "bits", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("pos", "token")).repartition(buckets, "token")
+    rows = rows.groupBy("token", "lh", "n", "bits", "pos").agg(F.min("doc").alias("doc"), F.min("no").alias("no"))  # copies are one row
     of = Window.partitionBy("token")
-    rows = rows.withColumns({"one": F.min("lh").over(of) == F.max("lh").over(of), "e": F.min(F.struct("doc", "no", "lh", "n", "bits", "pos")).over(of)}).where("NOT one")
+    rows = rows.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct("doc", "no", "lh", "n", "bits", "pos")).over(of)}).where("k > 1")
     rows = rows.select("*", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("lh", "n", "bits", "pos")])
     star = F.when((F.col("lh") != F.col("e_lh")) & may_match("", "e_"), F.col("e_lh"))
     rows, drop_rows = _bucketed(rows.select("token", "lh", "n", "bits", "pos", "doc", "no", star.alias("star")), buckets, "token")
     release_shuffles(spark)
 
-    # each line against the earliest one of its prefix tokens
-    gone = verified(rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("lh").alias("b")))
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share as many prefix tokens as they must."""
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+
+    # each line against the earliest one of its prefix tokens: a line that has
+    # fewer tokens in common with it than it needs stays open
+    star = rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("lh").alias("b"), _matches("n").alias("need"))
+    gone = verified(enough(star))
 
     # lines still open against all earlier ones
     cols = ("lh", "n", "bits", "pos", "doc", "no")
     earlier = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
-    later = rows.select("token", "star", *[F.col(c).alias(f"b_{c}") for c in cols])
+    later = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
     done = gone.select(F.col("b").alias("b_lh"))
     later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_lh", "left_anti")
     before = F.struct("a_doc", "a_no", "a_lh") < F.struct("b_doc", "b_no", "b_lh")
-    other = F.col("star").isNull() | (F.col("a_lh") != F.col("star"))
-    pairs = later.join(earlier, "token").where(before & other & may_match("a_", "b_"))
-    gone = gone.unionByName(verified(pairs.select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b"))))
+    pairs = later.join(earlier, "token").where(before & may_match("a_", "b_"))
+    need = F.least(_matches("a_n"), _matches("b_n"))
+    gone = gone.unionByName(verified(enough(pairs.select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b"), need.alias("need")))))
     drop_rows()
     release_shuffles(spark)
 
