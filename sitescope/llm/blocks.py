@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from sitescope.llm.common import chunks, materialize, mix, pack, unpack
 
-BLOCK_WORDS = 3 << 20
+BLOCK_WORDS = 1 << 20
 BLOCK_DOCS = 1 << 20
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 BLOCK_SCHEMA = "block_id long, doc_ids array<long>, tags array<long>, n_words array<long>, vocab binary, words binary"
 

@@ -172,6 +172,7 @@ class _Pairs:
         at = np.flatnonzero(self.known)
         code, self.back = np.unique(before[at] * np.int64(v) + seq[at], return_inverse=True)
         self.at = at
+        del before
         prev, word = code // v, code % v
         train = np.repeat(block.tags.to_numpy(zero_copy_only=False).astype(np.int64), n)[at]
         own = np.bincount(self.back, weights=train, minlength=len(code)).astype(np.uint32)

@@ -67,8 +67,8 @@ class CachedEncoder:
     def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, and how many each has."""
         if not self.spaced:
-            # a word, and one sign after it, are an id with a word end each
-            ends = [1 if p.isalpha() else 2 if p[-1] in ",." and p[:-1].isalpha() else 0 for p in pieces]
+            # a word of Latin-1 letters, and one sign after it, have a word end each
+            ends = [0 if max(p) > "\xff" else 1 if p.isalpha() else 2 if p[-1] in ",." and p[:-1].isalpha() else 0 for p in pieces]
             plain = [p for p, e in zip(pieces, ends, strict=True) if e]
             other = [p for p, e in zip(pieces, ends, strict=True) if not e]
             n_ends = np.array(ends, np.int64)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,3 +78,46 @@ def dedup_lines(rows: list[tuple[int, str | None]], num: int = 80, den: int = 10
         same = t is None or (len(kept) == len(per[d]) == sum(bool(words(x)) for x in t.split("\n")))
         out[d] = t if same else "\n".join(kept)
     return out
+
+
+def _discounts(counts: Counter, most: int = 5) -> dict[int, float]:
+    n = Counter(counts.values())
+    a = (most + 1) * n[most + 1] / n[1] if n[1] else 0.0
+    out = {}
+    for r in range(1, most + 1):
+        x = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else -1.0
+        out[r] = x if 0 < x < 1 else (r - 0.5) / r
+    return out
+
+
+def katz(tokens: dict[int, list[str]], train: list[int]) -> dict[int, float]:
+    """log10 probability of each document under a Katz bigram model."""
+    uni, bi = Counter(), Counter()
+    for k in train:
+        uni.update(tokens[k])
+        bi.update(zip(["<s>", *tokens[k]], tokens[k], strict=False))
+    n, d1, d2 = sum(uni.values()), _discounts(uni), _discounts(bi)
+    lost = sum(c * (1 - d1.get(c, 1)) for c in uni.values()) / n
+    scale, unknown = (1.0, lost) if lost > 0 else (n / (n + 1), 1 / (n + 1))
+
+    def p1(w):
+        return uni[w] * d1.get(uni[w], 1) * scale / n if uni[w] else unknown
+
+    after = defaultdict(dict)
+    for (h, w), c in bi.items():
+        after[h][w] = c
+    back = {}
+    for h, s in after.items():
+        total, left = sum(s.values()), sum(c * (1 - d2.get(c, 1)) for c in s.values())
+        if left <= 0:
+            total, left = total + 1, 1.0
+        back[h] = total, left / total / max(1 - sum(map(p1, s)), 1e-12)
+
+    def p(h, w):
+        if h not in after or not uni[w]:
+            return p1(w)
+        total, alpha = back[h]
+        c = after[h].get(w)
+        return c * d2.get(c, 1) / total if c else alpha * p1(w)
+
+    return {k: sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False)) for k, t in tokens.items()}
