@@ -39,6 +39,8 @@ WIDTH, NUM, DEN = 4, 85, 100
 #: Most shared tokens asked for, and the cost of a verification in list entries.
 MOST_MATCHES, VERIFY_COST = 8, 16
 TOKENS_PER_REDUCER = 1 << 20
+#: 64-bit words of a set's bitmap: sets differ in as many shingles as bits, at least.
+BITMAP = 16
 
 
 def _least_overlap(n: int | np.ndarray, num: int, den: int):
@@ -121,7 +123,7 @@ def _active(blocks: DataFrame, width: int, num: int, den: int, reducers: int) ->
                 tokens, _ = _tokens(k, b, i, width, sets)
                 got = sorted(b.column(b.schema.get_field_index("answers"))[i].as_py(), key=lambda x: x["r"])
                 df_of = np.concatenate([unpack(x["df"]) for x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-                rows: dict[str, list] = {c: [] for c in ("uid", "n", "m", "ell", "toks", "lev", "members")}
+                rows: dict[str, list] = {c: [] for c in ("uid", "n", "m", "ell", "toks", "lev", "members", "bits")}
                 for d, s in zip(reps.tolist(), sets, strict=True):
                     n = len(s)
                     df = df_of[np.searchsorted(tokens, s >> np.uint64(16))]
@@ -141,15 +143,23 @@ def _active(blocks: DataFrame, width: int, num: int, den: int, reducers: int) ->
                     rows["toks"].append(s[order[at]].view(np.int64))
                     rows["lev"].append(np.maximum(1, at - first + 2))
                     rows["members"].append(s.view(np.int64))
+                    rows["bits"].append(_bitmap(s))
                 longs = pa.list_(pa.int64())
                 for x in range(0, len(rows["uid"]), 2000):
                     part = {c: v[x : x + 2000] for c, v in rows.items()}
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(part[c], pa.int64()) for c in ("uid", "n", "m", "ell")), *(pa.array(part[c], longs) for c in ("toks", "lev", "members"))],
+                        [*(pa.array(part[c], pa.int64()) for c in ("uid", "n", "m", "ell")), *(pa.array(part[c], longs) for c in ("toks", "lev", "members", "bits"))],
                         names=list(part),
                     )
 
-    return full.mapInArrow(prefixes, "uid long, n long, m long, ell long, toks array<long>, lev array<long>, members array<long>")
+    return full.mapInArrow(prefixes, "uid long, n long, m long, ell long, toks array<long>, lev array<long>, members array<long>, bits array<long>")
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each shingle, by hash, in ``BITMAP`` words of 64."""
+    out = np.zeros(BITMAP * 64, np.uint8)
+    out[(s & np.uint64(BITMAP * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
 
 
 def _reps(b: pa.RecordBatch, i: int) -> np.ndarray:
@@ -217,15 +227,19 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # what can still join two groups
     labelled = _labelled(rows, edges, "jac-close")
     mixed = labelled.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("token")
-    open_ = materialize(labelled.join(mixed, "token"), "jac-open")
-    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in ("uid", "n", "m", "ell", "lev", "lab")])
-    b = open_.select("token", *[F.col(c).alias(f"b_{c}") for c in ("uid", "n", "m", "ell", "lev", "lab")])
+    bits = active.select("uid", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)])
+    open_ = materialize(labelled.join(mixed, "token").join(bits, "uid"), "jac-open")
+    cols = ("uid", "n", "m", "ell", "lev", "lab", *(f"w{i}" for i in range(BITMAP)))
+    a = open_.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = open_.select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
+    differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(BITMAP)), F.lit(0))
     ell = F.least("a_ell", "b_ell")
     near = (
         (F.col("a_uid") < F.col("b_uid")) & (F.col("a_lab") != F.col("b_lab"))
         & (F.greatest("a_n", "b_n") * num <= F.least("a_n", "b_n") * den)
         & (F.least("a_m", "b_m") * (num + den) >= (F.col("a_n") + F.col("b_n")) * num)
         & (F.col("a_lev") <= ell) & (F.col("b_lev") <= ell)
+        & (differ * (num + den) <= (F.col("a_n") + F.col("b_n")) * (den - num))
     )
     pairs = a.join(b, a["token"] == b["token"]).where(near).groupBy(F.col("a_uid").alias("src"), F.col("b_uid").alias("dst")).agg(
         F.count("*").alias("shared"), F.first(ell).alias("ell")
