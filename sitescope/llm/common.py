@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+# Arrow buffers go back to the system when a batch is done with
+pa.set_memory_pool(pa.system_memory_pool())
+
 _own_dirs: dict[str, str] = {}
 
 

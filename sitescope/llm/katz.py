@@ -37,9 +37,9 @@ from sitescope.llm.common import drop_table, materialize, mix, pack, pack_sorted
 
 #: Counts up to this one are discounted.
 MOST_DISCOUNTED = 5
-PAIRS_PER_REDUCER = 1 << 19
-END, START = np.uint64(0x5EED0E4D00000001), np.uint64(0x5EED57A270000002)
-_WORD_BITS = np.uint64(24)  # a successor is told by the upper 40 bits of its hash
+PAIRS_PER_REDUCER = 1 << 18
+#: The hash of the end token, and the id of the start before a document.
+END, START = np.uint64(0x5EED0E4D00000001), np.uint64(1 << 62)
 
 
 def discounts(n_of: np.ndarray, most: int = MOST_DISCOUNTED) -> np.ndarray:
@@ -139,19 +139,25 @@ def _words(blocks: DataFrame, reducers: int) -> DataFrame:
         n = np.concatenate([unpack(x.as_py()) for x in t.column("n")])
         all_, back = np.unique(np.concatenate(words), return_inverse=True)
         c = np.bincount(back, weights=n, minlength=len(all_)).astype(np.int64)
-        answers = np.split(c[back], np.cumsum([len(x) for x in words])[:-1])
+        # a seen word's id: the reducer, then its rank there, frequent words first
         seen = c > 0
+        rank = np.zeros(len(c), np.uint64)
+        order = np.argsort(-c, kind="stable")
+        rank[order] = np.arange(len(c), dtype=np.uint64)
+        ids = (np.uint64(t.column("r")[0].as_py()) << np.uint64(32)) | rank
+        cuts = np.cumsum([len(x) for x in words])[:-1]
+        answers = zip(t.column("block_id").to_pylist(), np.split(c[back], cuts), np.split(np.where(seen, ids, 0)[back], cuts), strict=True)
         n_of = np.bincount(np.minimum(c[seen], MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)
         return pa.table({
             "r": t.column("r")[:1], "words": pa.array([pack_sorted(all_[seen])], pa.binary()), "counts": pa.array([pack(c[seen])], pa.binary()),
             "tokens": [int(c.sum())], "types": [int(seen.sum())], "n_of": pa.array([n_of.tolist()], pa.list_(pa.int64())),
-            "answers": pa.array([[{"block_id": i, "n": pack(a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.int64))} for i, a in zip(t.column("block_id").to_pylist(), answers, strict=True)]],
-                                pa.list_(pa.struct([("block_id", pa.int64()), ("n", pa.binary())]))),
+            "answers": pa.array([[{"block_id": i, "n": pack(_narrow(x)), "ids": pack(y)} for i, x, y in answers]],
+                                pa.list_(pa.struct([("block_id", pa.int64()), ("n", pa.binary()), ("ids", pa.binary())]))),
         })
 
     asked = blocks.mapInArrow(ask, "r int, block_id long, words binary, n binary")
     out = asked.groupBy("r").applyInArrow(
-        count, "r int, words binary, counts binary, tokens long, types long, n_of array<long>, answers array<struct<block_id:long,n:binary>>"
+        count, "r int, words binary, counts binary, tokens long, types long, n_of array<long>, answers array<struct<block_id:long,n:binary,ids:binary>>"
     )
     return materialize(out, "katz-unigrams")
 
@@ -159,14 +165,13 @@ def _words(blocks: DataFrame, reducers: int) -> DataFrame:
 class _Pairs:
     """The distinct known pairs of a block, in the order they are sent."""
 
-    def __init__(self, block: Block, counts: np.ndarray, hot_from: int, n_train_docs: int, reducers: int) -> None:
+    def __init__(self, block: Block, counts: np.ndarray, ids: np.ndarray, hot_from: int, n_train_docs: int, reducers: int) -> None:
         seq, first, n = _stretch(block)
-        h = _hashes(block)
-        v = len(h)
+        v = len(ids)
         before = np.empty_like(seq)
         before[1:] = seq[:-1]
         before[first] = v  # the start
-        h_all, c_all = np.append(h, START), np.append(counts, n_train_docs)
+        id_all, c_all = np.append(ids, START), np.append(counts, n_train_docs)
         self.seq, self.first, self.n = seq, first, n
         self.known = (c_all[seq] > 0) & (c_all[before] > 0)
         at = np.flatnonzero(self.known)
@@ -176,9 +181,9 @@ class _Pairs:
         prev, word = code // v, code % v
         train = np.repeat(block.tags.to_numpy(zero_copy_only=False).astype(np.int64), n)[at]
         own = np.bincount(self.back, weights=train, minlength=len(code)).astype(np.uint32)
-        hist, succ = h_all[prev], h_all[word] >> _WORD_BITS
+        hist, succ = id_all[prev], id_all[word]
         hot = c_all[prev] >= hot_from
-        place = np.where(hot, mix(hist ^ (h_all[word] * np.uint64(0x9E3779B97F4A7C15))), mix(hist))
+        place = np.where(hot, mix(hist ^ mix(succ)), mix(hist))
         r = (place >> np.uint64(32)) * np.uint64(reducers) >> np.uint64(32)
         self.order = np.lexsort((succ, hist, r))
         self.r = r[self.order].astype(np.int64)
@@ -192,24 +197,13 @@ class _Pairs:
             new = np.concatenate([[True], self.hist[x + 1 : y] != self.hist[x : y - 1]])
             runs = np.diff(np.append(np.flatnonzero(new), y - x))
             yield (int(self.r[x]), pack_sorted(self.hist[x:y][new]), pack(runs.astype(np.uint32)), pack(self.hot[x:y][new].astype(np.uint8)),
-                   _pack40(self.succ[x:y]), pack(self.own[x:y]), pack(_narrow(self.word_count[x:y])))
+                   pack(self.succ[x:y]), pack(self.own[x:y]), pack(_narrow(self.word_count[x:y])))
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.uint64)
 
 
-def _pack40(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack40(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel()
-
-
 _PAIR_REQUEST = "r int, block_id long, hist binary, runs binary, hot binary, succ binary, own binary, words binary"
 _PAIR_TABLE = (
     "r int, hist binary, runs binary, hot binary, succ binary, counts binary, words binary, n_of array<long>, "
@@ -253,8 +247,9 @@ def _pair_table(blocks: DataFrame, uni: Unigrams, hot_from: int, n_train_docs: i
         for b in batches:
             for i in range(b.num_rows):
                 k = Block(b, i)
-                pairs = _Pairs(k, _counts(k, b, i, reducers), hot_from, n_train_docs, reducers)
+                pairs = _Pairs(k, *_counts(k, b, i, reducers), hot_from, n_train_docs, reducers)
                 cols = list(zip(*pairs.requests(), strict=True))
+                del pairs
                 if not cols:
                     continue
                 yield pa.RecordBatch.from_arrays(
@@ -267,7 +262,7 @@ def _pair_table(blocks: DataFrame, uni: Unigrams, hot_from: int, n_train_docs: i
         runs = [unpack(x).astype(np.int64) for x in got["runs"]]
         hist = np.concatenate([np.repeat(unpack_sorted(x), n) for x, n in zip(got["hist"], runs, strict=True)])
         hot = np.concatenate([np.repeat(unpack(x), n) for x, n in zip(got["hot"], runs, strict=True)])
-        succ = np.concatenate([_unpack40(x) for x in got["succ"]])
+        succ = np.concatenate([unpack(x) for x in got["succ"]])
         own = np.concatenate([unpack(x) for x in got["own"]]).astype(np.int64)
         words = np.concatenate([unpack(x) for x in got["words"]]).astype(np.int64)
         sizes = [int(n.sum()) for n in runs]
@@ -291,7 +286,7 @@ def _pair_table(blocks: DataFrame, uni: Unigrams, hot_from: int, n_train_docs: i
         return pa.table({
             "r": t.column("r")[:1], "hist": pa.array([pack_sorted(names)], pa.binary()),
             "runs": pa.array([pack(np.diff(np.append(np.flatnonzero(head), len(h))).astype(np.uint32))], pa.binary()),
-            "hot": pa.array([pack(is_hot.astype(np.uint8))], pa.binary()), "succ": pa.array([_pack40(s)], pa.binary()),
+            "hot": pa.array([pack(is_hot.astype(np.uint8))], pa.binary()), "succ": pa.array([pack(s)], pa.binary()),
             "counts": pa.array([pack(_narrow(c))], pa.binary()), "words": pa.array([pack(_narrow(w))], pa.binary()),
             "n_of": pa.array([n_of.tolist()], pa.list_(pa.int64())),
             "hot_hist": pa.array([names[is_hot].view(np.int64).tolist()], pa.list_(pa.int64())),
@@ -303,12 +298,13 @@ def _pair_table(blocks: DataFrame, uni: Unigrams, hot_from: int, n_train_docs: i
     return materialize(asked.groupBy("r").applyInArrow(count, _PAIR_TABLE), "katz-bigrams", sweep=True)
 
 
-def _counts(k: Block, b: pa.RecordBatch, i: int, reducers: int) -> np.ndarray:
-    """Training counts of the block's words, from the answers beside it."""
+def _counts(k: Block, b: pa.RecordBatch, i: int, reducers: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and ids of the block's words, from the answers beside it."""
     order, _ = _order(_hashes(k), reducers)
-    out = np.zeros(len(order), np.int64)
-    out[order] = _split(b.column(b.schema.get_field_index("answers"))[i].as_py(), "n")
-    return out
+    got = b.column(b.schema.get_field_index("answers"))[i].as_py()
+    n, ids = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint64)
+    n[order], ids[order] = _split(got, "n"), _split(got, "ids")
+    return n, ids
 
 
 def _pair_answers(table: DataFrame, uni: Unigrams, keep: np.ndarray, hot: dict[int, tuple[float, float]]) -> DataFrame:
@@ -355,10 +351,11 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
     if facts[0] is not None:
         tokens, types, n_of = facts[0], facts[1], np.array(facts[2:], np.int64)
     uni = Unigrams.of(tokens, types, n_of)
-    answers = words.select("r", F.explode("answers").alias("a")).select("r", "a.block_id", "a.n")
-    answers = answers.groupBy("block_id").agg(F.collect_list(F.struct("r", "n")).alias("answers"))
+    answers = words.select("r", F.explode("answers").alias("a")).select("r", "a.block_id", "a.n", "a.ids")
+    answers = answers.groupBy("block_id").agg(F.collect_list(F.struct("r", "n", "ids")).alias("answers"))
     blocks = materialize(raw.join(answers, "block_id"), "katz-counted", sweep=True)
     drop_table(raw)
+    drop_table(words)
 
     # order 2: histories with a large part of all tokens are dealt out by pair
     hot_from = max(1000, tokens // (4 * reducers) + 1)
@@ -377,8 +374,8 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
         for b in batches:
             for i in range(b.num_rows):
                 k = Block(b, i)
-                counts = _counts(k, b, i, reducers)
-                pairs = _Pairs(k, counts, hot_from, n_train_docs, reducers)
+                counts, ids = _counts(k, b, i, reducers)
+                pairs = _Pairs(k, counts, ids, hot_from, n_train_docs, reducers)
                 got = sorted(b.column(b.schema.get_field_index("pairs"))[i].as_py() or [], key=lambda x: x["r"])
                 logp = np.zeros(len(pairs.order))
                 logp[pairs.order] = np.concatenate([np.frombuffer(x["p"], "<f4") for x in got]) if got else logp
