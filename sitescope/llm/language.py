@@ -40,7 +40,7 @@ PER_LANG = 1200
 MIN_COUNT = 4
 RATIO = 0.12
 UNKNOWN = "und"
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _is_letter: np.ndarray | None = None

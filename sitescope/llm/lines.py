@@ -172,7 +172,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     # one exchange, by token, into buckets that later joins read in place
     buckets = max(partitions(spark), n_lines // LINES_PER_BUCKET)
-    rows = prefix.select("doc", "no", "lh", "n", "bits", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("pos", "token")).repartition(buckets, "token")
+    rows = prefix.select("doc", "no", "lh", "n", "bits", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("pos", "token"))
+    # 32 bits tell tokens apart well enough for candidates
+    rows = rows.withColumn("token", F.hash("token")).repartition(buckets, "token")
     rows = rows.groupBy("token", "lh", "n", "bits", "pos").agg(F.min("doc").alias("doc"), F.min("no").alias("no"))  # copies are one row
     of = Window.partitionBy("token")
     rows = rows.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct("doc", "no", "lh", "n", "bits", "pos")).over(of)}).where("k > 1")

@@ -39,7 +39,7 @@ WINDOW = 8
 SIGMAS = 3.0
 LEAST_CUT = 0.12
 LEAST_SHOT = 3
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def _code_tables() -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-_CACHE_PIECES = 700_000
+_CACHE_PIECES = 500_000
 
 
 class _Pieces(dict):
