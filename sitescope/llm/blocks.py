@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import chunks, materialize, mix, pack, unpack
+from sitescope.llm.common import chunks, materialize, mix, pack, trim, unpack
 
 BLOCK_WORDS = 1 << 20
 BLOCK_DOCS = 1 << 20
@@ -76,6 +76,8 @@ def word_blocks(docs: DataFrame, key: str, text: str, tag, name: str) -> DataFra
                     numbers, ids, n_words, doc_ids, tags, held = _Numbers(), [], [], [], [], 0
         if doc_ids:
             yield block()
+        del numbers, ids, n_words, doc_ids, tags
+        trim()
 
     return materialize(rows.mapInArrow(run, BLOCK_SCHEMA), name)
 

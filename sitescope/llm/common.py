@@ -8,6 +8,8 @@ temporary folder is made once per application.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -24,9 +26,6 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-# Arrow buffers go back to the system when a batch is done with
-pa.set_memory_pool(pa.system_memory_pool())
-
 _own_dirs: dict[str, str] = {}
 
 
@@ -56,6 +55,13 @@ def materialize(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     return out
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back, for the next task's sake."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of plans that are done with."""
     gc.collect()

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import chunks, materialize
+from sitescope.llm.common import chunks, materialize, trim
 from sitescope.llm.tokens import CachedEncoder
 
 MAGIC, VERSION = b"TIDS", 1
@@ -299,6 +299,8 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_i
                     held, names, counts, n_held = [], [], [], 0
         if names:
             yield segment()
+        del encoder, held, counts, names
+        trim()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first())

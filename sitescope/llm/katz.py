@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.llm.blocks import Block, word_blocks
-from sitescope.llm.common import drop_table, materialize, mix, pack, pack_sorted, partitions, release_shuffles, unpack, unpack_sorted
+from sitescope.llm.common import drop_table, materialize, mix, pack, pack_sorted, partitions, release_shuffles, trim, unpack, unpack_sorted
 
 #: Counts up to this one are discounted.
 MOST_DISCOUNTED = 5
@@ -256,6 +256,8 @@ def _pair_table(blocks: DataFrame, uni: Unigrams, hot_from: int, n_train_docs: i
                     [pa.array(cols[0], pa.int32()), pa.array([k.block_id] * len(cols[0]), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
                     names=[f.split()[0] for f in _PAIR_REQUEST.split(", ")],
                 )
+                del k, cols
+                trim()
 
     def count(t: pa.Table) -> pa.Table:
         got = {c: [x.as_py() for x in t.column(c)] for c in ("hist", "runs", "hot", "succ", "own", "words")}
@@ -390,6 +392,8 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
                      pa.array(np.full(len(pairs.n), tokens)), pa.array(sums[1]), pa.array(sums[0])],
                     names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del k, pairs, got, logp, lower, per_token, base, sums
+                trim()
 
     release_shuffles(spark)
     return full.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import chunks, materialize
+from sitescope.llm.common import chunks, materialize, trim
 from sitescope.llm.tokens import CachedEncoder
 
 CAPACITY = 2048
@@ -97,6 +97,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                     cols[k].append(v)
                 keys.append(c.column(0).take(pa.array(doc)))
                 seen += len(n_end)
+        del encoder
+        trim()
         if not keys:
             return
         x = {k: np.concatenate(v) for k, v in cols.items()}
