@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitescope.llm.common import chunks, materialize, trim
-from sitescope.llm.tokens import CachedEncoder
+from sitescope.llm.tokens import cached_encoder
 
 MAGIC, VERSION = b"TIDS", 1
 BLOCK = 2048
@@ -264,7 +264,7 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_i
     table of its segments.  Shards follow each other in document order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encoder = CachedEncoder(tokenizer, spaced=True)
+        encoder = cached_encoder(tokenizer, spaced=True)
         shard, part, before = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         names: list[int | None] = []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.llm.common import chunks, materialize, trim
-from sitescope.llm.tokens import CachedEncoder
+from sitescope.llm.tokens import cached_encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     sequence_id and offset.  ``tokenizer``: path of a tokenizers file."""
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encoder = CachedEncoder(tokenizer, spaced=False)
+        encoder = cached_encoder(tokenizer, spaced=False)
         task = TaskContext.get().partitionId() << 32
         cols: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "piece", "start", "length", "crc")}
         keys: list[pa.Array] = []

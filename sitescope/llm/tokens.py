@@ -9,12 +9,13 @@ space or at an end, is encoded whole.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
 import numpy as np
 
-_CACHE_PIECES = 500_000
+_CACHE_PIECES = 400_000
 
 
 class _Pieces(dict):
@@ -30,6 +31,12 @@ class _Pieces(dict):
         return n
 
 
+@functools.lru_cache(2)
+def cached_encoder(path: str, spaced: bool) -> CachedEncoder:
+    """The encoder of this worker: later tasks find its pieces."""
+    return CachedEncoder(path, spaced)
+
+
 class CachedEncoder:
     """``encode`` equals ``Tokenizer.encode(text, add_special_tokens=False)``.
 
