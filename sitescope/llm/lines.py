@@ -1,12 +1,13 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
-A line is the set of its distinct words.  Its tokens are ordered by rarity:
-the count of a token's bucket in a table of ``2 ** SKETCH_BITS`` counts over
-all lines (a fixed size; the order only has to be the same everywhere for the
-join to be exact), then its hash.  Lines of Jaccard similarity ``num / den``
-or more share a token of their prefixes, and ``k`` tokens of prefixes that
-are ``k - 1`` tokens longer; candidates pass a length, a positional and a
-bitmap filter and are verified on their whole sets.
+A line is the set of its distinct words.  Lines with equal sets are one class;
+tokens are ordered by the number of classes that hold them, rarest first
+(exact counts, exchanged between blocks of lines).  Lines of Jaccard
+similarity ``num / den`` or more share a token of their prefixes, and ``k``
+tokens of prefixes that are ``k - 1`` tokens longer; a token of one class only
+is in no prefix, and a line with too many such tokens matches nothing.
+Candidates pass a length, a positional and a bitmap filter and are verified on
+their whole sets.
 
 The place of a distinct line is its first document and, there, its least line
 number in any document.  A line is removed wherever it isn't at its place,
@@ -15,6 +16,10 @@ is asked for, the lines of a prefix token are first compared with the token's
 earliest line alone; lines that are thereby removed need no other partner,
 which leaves few for the join of open lines with all earlier ones.
 
+Words are split, ordered and cut to prefixes in Arrow batches (a form of
+DataFrame functions only took nearly three times the CPU time allowed); all
+joins, counts of pairs and verifications are DataFrame operations.
+
 Defined cases: lines without a word match nothing; a null text stays null; a
 document keeps its text to the letter unless a line of it is removed, and
 then its other lines with words are joined by \\n (empty if none is left);
@@ -27,36 +32,36 @@ replaced.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import delete, drop_table, materialize, partitions, release_shuffles, shared_dir, without
+from sitescope.llm.common import chunks, delete, drop_table, materialize, mix, pack, pack_sorted, partitions, release_shuffles, shared_dir, trim, unpack, unpack_sorted, without
 
 NUM, DEN = 80, 100
-SKETCH_BITS = 20
-FILTER_BITS = 22
-#: At most so many lines are hot: those with more than this part of all lines.
-HOT = 4096
 TOKENS_PER_MATCH = 24
-LINES_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1_000_000
 #: Most removed lines that are broadcast; more are joined by exchange.
 BROADCAST_LINES = 1_000_000
 #: Null ids come before all others.
 NO_ID = -(1 << 63)
+#: Words, and lines, of a block at which it ends.
+BLOCK_WORDS, BLOCK_LINES = 1 << 20, 1 << 19
+CHUNK = 4 << 20
+TOKENS_PER_REDUCER = 1 << 20
+#: 64-bit words of a set's bitmap.
+BITMAP = 2
 
 
-def _words(line):
-    """Words of a line; the rare other white space takes the slow way."""
-    odd = line.rlike(r"[\t\x0B\f\r]")
-    words = F.when(odd, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
-    return F.array_remove(words, "")
-
-
-def _matches(n: str):
-    """Prefix tokens that a line of ``n`` tokens must share with a match;
-    its prefix has as many tokens more, less one."""
-    return F.floor(F.col(n) / TOKENS_PER_MATCH).cast("int") + 1
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def _has_word(line):
@@ -68,16 +73,15 @@ def _lines(text):
     return F.array_distinct(F.filter(F.split(text, "\n"), _has_word))
 
 
-def _table(rows: DataFrame, slots: int) -> DataFrame:
-    """One row: an array of ``slots`` longs from ``(slot, n)`` rows."""
-    every = rows.sparkSession.range(slots).select(F.col("id").alias("slot")).join(rows, "slot", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0).cast("long")).alias("n"))))
-    return every.agg(F.transform(pairs, lambda e: e["n"]).alias("counts"))
+def _matches(n: str):
+    """Prefix tokens that a line of ``n`` tokens must share with a match;
+    its prefix has as many tokens more, less one."""
+    return F.floor(F.col(n) / TOKENS_PER_MATCH).cast("int") + 1
 
 
 def _bucketed(df: DataFrame, buckets: int, by: str):
-    """``df`` (already dealt by ``by``) as a bucketed table in the shared
-    folder, and a function that deletes it."""
+    """``df`` as a bucketed table in the shared folder, and a function that
+    deletes it."""
     spark = df.sparkSession
     name = f"lines_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
@@ -90,11 +94,203 @@ def _bucketed(df: DataFrame, buckets: int, by: str):
     return spark.table(name), drop
 
 
-def token_counts(docs: DataFrame, text: str) -> DataFrame:
-    """One row: the bucket counts of all tokens of all lines."""
-    t = docs.select(F.explode(F.split(F.col(text), "[ \n]")).alias("w"))
-    t = t.select(F.pmod(F.xxhash64("w"), F.lit(1 << SKETCH_BITS)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    return _table(t, 1 << SKETCH_BITS)
+# ---------------------------------------------------------------- blocks of lines
+
+_BLOCK = "block_id long, doc array<long>, no array<int>, lh array<long>, n_words array<int>, vocab binary, words binary"
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of the distinct lines of ``rows(doc, text)``: hashes of a
+    block's distinct words, and its lines as numbers into them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        block_id = TaskContext.get().partitionId() << 20
+        numbers = _Numbers()
+        doc: list[int] = []
+        no: list[int] = []
+        lh: list[int] = []
+        n_words: list[int] = []
+        ids: list[np.ndarray] = []
+        held = 0
+
+        def block() -> pa.RecordBatch:
+            vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+            lists = [(doc, pa.int64()), (no, pa.int32()), (np.array(lh, np.uint64).view(np.int64), pa.int64()), (n_words, pa.int32())]
+            cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in lists]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block_id], pa.int64()), *cols, pa.array([pack(vocab)], pa.binary()), pa.array([pack(np.concatenate(ids))], pa.binary())],
+                names=[f.split()[0] for f in _BLOCK.split(", ")],
+            )
+
+        for b in batches:
+            for c in chunks([b], "text", CHUNK):
+                flat: list[int] = []
+                for d, t in zip(c.column(0).to_pylist(), c.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    k = 0
+                    for line in dict.fromkeys(t.split(b"\n")) if t else ():
+                        w = line.split()
+                        if not w:
+                            continue
+                        doc.append(d)
+                        no.append(k)
+                        lh.append(xxhash.xxh64_intdigest(line, 42))
+                        n_words.append(len(w))
+                        flat += map(numbers.__getitem__, w)
+                        k += 1
+                ids.append(np.array(flat, np.int32))
+                held += len(flat)
+                if held >= BLOCK_WORDS or len(doc) >= BLOCK_LINES:
+                    yield block()
+                    block_id += 1
+                    numbers, doc, no, lh, n_words, ids, held = _Numbers(), [], [], [], [], [], 0
+        if doc:
+            yield block()
+        del numbers, doc, no, lh, n_words, ids
+        trim()
+
+    return rows.mapInArrow(run, _BLOCK)
+
+
+class _Block:
+    """A row of the block table: the distinct words of each line, as numbers
+    into ``vocab``, which is in ascending order."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
+        self.col = lambda name: batch.column(batch.schema.get_field_index(name))[i]
+        self.block_id = self.col("block_id").as_py()
+        vocab = unpack(self.col("vocab").as_py())
+        order = np.argsort(vocab)
+        rank = np.empty(len(vocab), np.int64)
+        rank[order] = np.arange(len(vocab))
+        self.vocab = vocab[order]
+        n_words = self.col("n_words").values.to_numpy().astype(np.int64)
+        key = np.repeat(np.arange(len(n_words)) * len(vocab), n_words) + rank[unpack(self.col("words").as_py())]
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        line, self.word = np.divmod(key, len(vocab))
+        self.n = np.bincount(line, minlength=len(n_words))
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+
+    def only(self, idx: np.ndarray) -> np.ndarray:
+        """Where the words of the lines ``idx`` are in ``word``."""
+        n = self.n[idx]
+        return np.repeat(self.at[idx] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _facts(blocks: DataFrame) -> DataFrame:
+    """(uid, doc, no, lh, n, f1, f2) of every line; equal n, f1 and f2 are an
+    equal set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                k = _Block(b, i)
+                start = k.at[:-1]
+                f1 = np.add.reduceat(mix(k.vocab)[k.word], start)
+                f2 = np.bitwise_xor.reduceat((k.vocab * np.uint64(0xC2B2AE3D27D4EB4F))[k.word], start)
+                uid = (k.block_id << 20) + np.arange(len(start))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid), *(k.col(c).values for c in ("doc", "no", "lh")), pa.array(k.n.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
+                    names=["uid", "doc", "no", "lh", "n", "f1", "f2"],
+                )
+
+    return blocks.mapInArrow(run, "uid long, doc long, no int, lh long, n int, f1 long, f2 long")
+
+
+def _in_block(rows: DataFrame, of: str, *carry: str) -> DataFrame:
+    """The lines ``of`` of each block, as one list."""
+    at = F.struct(F.col(of).bitwiseAND((1 << 20) - 1).cast("int").alias("idx"), *carry)
+    return rows.select(F.shiftright(of, 20).alias("block_id"), at.alias("e")).groupBy("block_id").agg(F.collect_list("e").alias("lines"))
+
+
+def _prefixes(blocks: DataFrame, classes: DataFrame, num: int, den: int, reducers: int) -> DataFrame:
+    """The prefix of one line of each class, as lists of tokens and places in
+    its order; none of lines that can't match."""
+    work = blocks.join(_in_block(classes, "uid", "doc", "no"), "block_id")
+    edges = np.array([(r << 48) // reducers for r in range(reducers)] + [1 << 48], np.uint64)
+
+    def chosen(k: _Block) -> tuple[np.ndarray, pa.StructArray]:
+        lines = k.col("lines").values
+        order = np.argsort(lines.field("idx").to_numpy())
+        return lines.field("idx").to_numpy()[order], lines.take(pa.array(order))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                k = _Block(b, i)
+                n = np.bincount(k.word[k.only(chosen(k)[0])], minlength=len(k.vocab)).astype(np.uint32)
+                cut = np.searchsorted(k.vocab >> np.uint64(16), edges)
+                rows = [(r, x, y) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([k.block_id] * len(rows), pa.int64()),
+                     pa.array([pack_sorted(k.vocab[x:y] >> np.uint64(16)) for _, x, y in rows], pa.binary()), pa.array([pack(n[x:y]) for _, x, y in rows], pa.binary())],
+                    names=["r", "block_id", "tokens", "n"],
+                )
+
+    def answer(t: pa.Table) -> pa.Table:
+        tokens = [unpack_sorted(x.as_py()) for x in t.column("tokens")]
+        counts = np.concatenate([unpack(x.as_py()) for x in t.column("n")])
+        all_, back = np.unique(np.concatenate(tokens), return_inverse=True)
+        df = np.minimum(np.bincount(back, weights=counts), 0xFFFFFFFF).astype(np.uint32)[back]
+        mine = np.split(df, np.cumsum([len(x) for x in tokens])[:-1])
+        return pa.table({"block_id": t.column("block_id"), "r": t.column("r"), "df": pa.array([pack(x) for x in mine], pa.binary())})
+
+    answers = work.mapInArrow(ask, "r int, block_id long, tokens binary, n binary").groupBy("r").applyInArrow(answer, "block_id long, r int, df binary")
+    answers = answers.groupBy("block_id").agg(F.collect_list(F.struct("r", "df")).alias("answers"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                k = _Block(b, i)
+                idx, lines = chosen(k)
+                got = sorted(k.col("answers").as_py(), key=lambda x: x["r"])
+                df = np.concatenate([unpack(x["df"]) for x in got])
+                # words of the block in the order of all tokens: rarest first, then by hash
+                order = np.lexsort((k.vocab, df))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                n = k.n[idx]
+                word = k.word[k.only(idx)]
+                at = np.concatenate([[0], np.cumsum(n)])
+                line = np.repeat(np.arange(len(n)), n)
+                shared = np.add.reduceat((df[word] > 1).astype(np.int64), at[:-1])
+                bits = np.zeros((len(n), BITMAP * 64), np.uint8)
+                bits[line, (k.vocab[word] & np.uint64(BITMAP * 64 - 1)).astype(np.int64)] = 1
+                bits = np.packbits(bits, axis=1).view(np.int64)
+                word = order[np.sort(line * len(order) + rank[word]) - line * len(order)]
+                pos = np.arange(len(word)) - at[:-1][line]
+                need = -(-n * num // den)
+                end = np.where(shared >= need, n - need + 1 + n // TOKENS_PER_MATCH, 0)
+                keep = (pos >= (n - shared)[line]) & (pos < end[line])
+                token = (mix(k.vocab)[word[keep]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                count = np.bincount(line[keep], minlength=len(n))
+                edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((k.block_id << 20) + idx.astype(np.int64)), lines.field("doc"), lines.field("no"), pa.array(n.astype(np.int32)),
+                     *(pa.array(np.ascontiguousarray(bits[:, w])) for w in range(BITMAP)),
+                     pa.ListArray.from_arrays(pa.array(edge), pa.array(token)), pa.ListArray.from_arrays(pa.array(edge), pa.array(pos[keep].astype(np.int32)))],
+                    names=["uid", "doc", "no", "n", *(f"w{w}" for w in range(BITMAP)), "tokens", "at"],
+                ).filter(pa.array(count > 0))
+
+    words = "".join(f", w{w} long" for w in range(BITMAP))
+    return work.join(answers, "block_id").mapInArrow(cut, f"uid long, doc long, no int, n int{words}, tokens array<int>, at array<int>")
+
+
+def _sets(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, set) of the lines in ``wanted(uid)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                k = _Block(b, i)
+                idx = k.col("lines").values.field("idx").to_numpy().astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum(k.n[idx])]).astype(np.int32)
+                members = k.vocab[k.word[k.only(idx)]].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((k.block_id << 20) + idx), pa.ListArray.from_arrays(pa.array(edge), pa.array(members))], names=["uid", "set"]
+                )
+
+    return blocks.join(_in_block(wanted, "uid"), "block_id").mapInArrow(run, "uid long, set array<long>")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -102,35 +298,20 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     columns n_lines (distinct lines with a word) and n_removed."""
     spark = docs.sparkSession
     docs = without(docs, ["n_lines", "n_removed"])
-    rarity = materialize(token_counts(docs, text), "lines-counts").scalar()
-
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    at = docs.select(doc.alias("doc"), F.posexplode(_lines(F.col(text))).alias("no", "line")).withColumn("lh", F.xxhash64("line"))
+    # joins of the blocks read them in place and exchange the other side alone
+    blocks, drop_blocks = _bucketed(_blocks(docs.select(doc.alias("doc"), F.col(text).alias("text"))), partitions(spark), "block_id")
+
     # where each distinct line comes first: its first document and least line number
-    first = at.groupBy("lh").agg(F.min("doc").alias("doc"), F.min("no").alias("no"), F.count("*").alias("copies"))
+    first = _facts(blocks).groupBy("lh").agg(
+        F.min("doc").alias("doc"), F.min("no").alias("no"), F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("n", "f1", "f2")]
+    )
     first = materialize(first, "lines-first")
-    n_lines = first.agg(F.sum("copies")).first()[0] or 0
-    # at most HOT lines have so many copies; only the first of theirs go on
-    hot = first.where(F.col("copies") > max(256, n_lines // HOT)).select("lh", F.col("doc").alias("h_doc"), F.col("no").alias("h_no"))
-    at = at.join(F.broadcast(hot), "lh", "left").where("h_doc IS NULL OR doc = h_doc")
-    at = at.select("doc", F.coalesce("h_no", "no").alias("no"), "lh", "line")
-
-    def token(w, table):
-        h = F.xxhash64(w)
-        n = F.element_at(table, F.pmod(h, F.lit(1 << SKETCH_BITS)).cast("int") + 1)
-        return F.shiftleft(F.least(n, F.lit((1 << 15) - 1).cast("long")), 48) + F.shiftrightunsigned(h, 16)
-
-    def with_set(lines: DataFrame) -> DataFrame:
-        """Adds the line's tokens, rarest first."""
-        lines = lines.withColumn("table", rarity)
-        return lines.withColumn("set", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: token(w, F.col("table"))))))
-
-    # a bit for each token's hash: two sets differ in at least the bits in which they differ
-    bit_of = lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(63)).cast("int")))
-    prefix = with_set(at).select("doc", "no", "lh", F.size("set").alias("n"), "set")
-    # long lines have longer prefixes and must share more of them
-    prefix = prefix.withColumn("p", F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + _matches("n"))
-    prefix = prefix.withColumn("bits", F.aggregate("set", F.lit(0).cast("long"), bit_of))
+    classes = materialize(first.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min(F.struct("doc", "no")).alias("p")).select("n", "f1", "f2", "uid", "p.*"), "lines-classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    reducers = max(2 * partitions(spark), -(-total // TOKENS_PER_REDUCER))
+    active = materialize(_prefixes(blocks, classes, num, den, reducers), "lines-prefixes", sweep=True)
+
     def alike(a, b):
         return F.greatest(a, b) * num <= F.least(a, b) * den
 
@@ -139,7 +320,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         n = F.col(f"{a}n") + F.col(f"{b}n")
         # tokens from the shared one on, and those before it, bound the overlap
         position = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + F.least(F.col(f"{a}pos"), F.col(f"{b}pos"))
-        differ = F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
+        # sets differ in at least the bits in which they differ
+        differ = sum((F.bit_count(F.col(f"{a}w{w}").bitwiseXOR(F.col(f"{b}w{w}"))) for w in range(BITMAP)), F.lit(0))
         # a token counts for the pair if it is in both prefixes as long as the pair needs
         both = F.least(_matches(f"{a}n"), _matches(f"{b}n"))
         counts = F.lit(True)
@@ -151,37 +333,31 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines ``b`` of pairs that do match."""
         pairs = materialize(pairs, "lines-pairs", sweep=True)
-        # sets of the lines that have a candidate; a fixed bit table spares most of the others
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
-        bit = F.pmod(F.xxhash64("lh"), F.lit(1 << FILTER_BITS))
-        flags = wanted.select(F.shiftright(bit, 6).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b"))
-        flags = materialize(_table(flags.groupBy("slot").agg(F.bit_or("b").alias("n")), 1 << (FILTER_BITS - 6)), "lines-bits").scalar()
-        maybe = at.withColumn("flags", flags).where(
-            F.call_function("shiftright", F.element_at("flags", F.shiftright(bit, 6).cast("int") + 1), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-        ).drop("flags")
-        members = with_set(maybe).select("lh", "set").join(wanted, "lh", "left_semi").dropDuplicates(["lh"])
-        members = materialize(members, "lines-sets", sweep=True)
-        a = members.select(F.col("lh").alias("a"), F.col("set").alias("sa"))
-        b = members.select(F.col("lh").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(a, "a").join(b, "b")
+        members = materialize(_sets(blocks, pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "lines-sets")
+        a = members.select(F.col("uid").alias("a"), F.col("set").alias("sa"))
+        b = members.select(F.col("uid").alias("b"), F.col("set").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
-        out = both.where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("b").distinct()
+        out = pairs.join(a, "a").join(b, "b").where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("b").distinct()
         out = materialize(out, "lines-gone", sweep=True)
         drop_table(members)
         return out
 
     # one exchange, by token, into buckets that later joins read in place
-    buckets = max(partitions(spark), n_lines // LINES_PER_BUCKET)
-    rows = prefix.select("doc", "no", "lh", "n", "bits", F.posexplode(F.slice("set", F.lit(1), F.col("p"))).alias("pos", "token"))
+    words = [f"w{w}" for w in range(BITMAP)]
+    cols = ("uid", "n", "pos", "doc", "no", *words)
+    n_rows = active.agg(F.sum(F.size("at"))).first()[0] or 0
+    buckets = max(partitions(spark), n_rows // ROWS_PER_BUCKET)
+    rows = active.select("uid", "doc", "no", "n", *words, F.explode(F.arrays_zip("tokens", "at")).alias("e"))
     # 32 bits tell tokens apart well enough for candidates
-    rows = rows.withColumn("token", F.hash("token")).repartition(buckets, "token")
-    rows = rows.groupBy("token", "lh", "n", "bits", "pos").agg(F.min("doc").alias("doc"), F.min("no").alias("no"))  # copies are one row
+    rows = rows.select(F.col("e.tokens").alias("token"), F.col("e.at").alias("pos"), "uid", "doc", "no", "n", *words).repartition(buckets, "token")
     of = Window.partitionBy("token")
-    rows = rows.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct("doc", "no", "lh", "n", "bits", "pos")).over(of)}).where("k > 1")
-    rows = rows.select("*", *[F.col(f"e.{c}").alias(f"e_{c}") for c in ("lh", "n", "bits", "pos")])
-    star = F.when((F.col("lh") != F.col("e_lh")) & may_match("", "e_"), F.col("e_lh"))
-    rows, drop_rows = _bucketed(rows.select("token", "lh", "n", "bits", "pos", "doc", "no", star.alias("star")), buckets, "token")
+    earliest = F.min(F.struct("doc", "no", "uid", "n", "pos", *words)).over(of)
+    rows = rows.withColumns({"k": F.count("*").over(of), "e": earliest}).where("k > 1")
+    rows = rows.select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
+    star = F.when((F.struct("e_doc", "e_no") < F.struct("doc", "no")) & may_match("", "e_"), F.col("e_uid"))
+    rows, drop_rows = _bucketed(rows.select("token", *cols, star.alias("star")), buckets, "token")
     release_shuffles(spark)
+    drop_table(active)
 
     def enough(pairs: DataFrame) -> DataFrame:
         """Pairs that share as many prefix tokens as they must."""
@@ -189,23 +365,24 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     # each line against the earliest one of its prefix tokens: a line that has
     # fewer tokens in common with it than it needs stays open
-    star = rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("lh").alias("b"), _matches("n").alias("need"))
+    star = rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("uid").alias("b"), _matches("n").alias("need"))
     gone = verified(enough(star))
 
     # lines still open against all earlier ones
-    cols = ("lh", "n", "bits", "pos", "doc", "no")
     earlier = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
     later = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
-    done = gone.select(F.col("b").alias("b_lh"))
-    later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_lh", "left_anti")
-    before = F.struct("a_doc", "a_no", "a_lh") < F.struct("b_doc", "b_no", "b_lh")
+    done = gone.select(F.col("b").alias("b_uid"))
+    later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_uid", "left_anti")
+    before = F.struct("a_doc", "a_no") < F.struct("b_doc", "b_no")
     pairs = later.join(earlier, "token").where(before & may_match("a_", "b_"))
     need = F.least(_matches("a_n"), _matches("b_n"))
-    gone = gone.unionByName(verified(enough(pairs.select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b"), need.alias("need")))))
+    gone = gone.unionByName(verified(enough(pairs.select(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"), need.alias("need")))))
     drop_rows()
+    drop_blocks()
     release_shuffles(spark)
 
-    stays = first.join(gone.withColumnRenamed("b", "lh"), "lh", "left_anti").groupBy("doc").agg(F.collect_list("lh").alias("stay"))
+    left = classes.join(gone.withColumnRenamed("b", "uid"), "uid", "left_anti").select("n", "f1", "f2", F.col("doc").alias("p_doc"), F.col("no").alias("p_no"))
+    stays = first.join(left, ["n", "f1", "f2"]).where("doc = p_doc AND no = p_no").groupBy("doc").agg(F.collect_list("lh").alias("stay"))
     body = docs.select(doc.alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     out = body.join(stays, "doc", "left").withColumn("every", _lines(F.col(f"d.{text}")))
     out = out.withColumn("kept", F.filter("every", lambda x: F.array_contains(F.coalesce("stay", F.array().cast("array<bigint>")), F.xxhash64(x))))
