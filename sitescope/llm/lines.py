@@ -10,7 +10,8 @@ Candidates pass a length, a positional and a bitmap filter and are verified on
 their whole sets.
 
 The place of a distinct line is its first document and, there, its least line
-number in any document.  A line is removed wherever it isn't at its place,
+number in any document; ties go by a hash of the line.  A line is removed
+wherever it isn't at its place,
 and also there if it matches any line with an earlier place.  As only that
 is asked for, the lines of a prefix token are first compared with the token's
 earliest line alone; lines that are thereby removed need no other partner,
@@ -45,7 +46,7 @@ from sitescope.llm.common import chunks, delete, drop_table, materialize, mix, p
 
 NUM, DEN = 80, 100
 TOKENS_PER_MATCH = 24
-ROWS_PER_BUCKET = 1_000_000
+TOKENS_PER_BUCKET = 5_000_000
 #: Most removed lines that are broadcast; more are joined by exchange.
 BROADCAST_LINES = 1_000_000
 #: Null ids come before all others.
@@ -55,7 +56,7 @@ BLOCK_WORDS, BLOCK_LINES = 1 << 20, 1 << 19
 CHUNK = 4 << 20
 TOKENS_PER_REDUCER = 1 << 20
 #: 64-bit words of a set's bitmap.
-BITMAP = 2
+BITMAP = 1
 
 
 class _Numbers(dict):
@@ -79,13 +80,18 @@ def _matches(n: str):
     return F.floor(F.col(n) / TOKENS_PER_MATCH).cast("int") + 1
 
 
+def _spot():
+    """Line number and the upper half of the line's hash, in that order."""
+    return F.shiftleft(F.col("no").cast("long"), 32) + F.shiftright("lh", 32) + F.lit(1 << 31)
+
+
 def _bucketed(df: DataFrame, buckets: int, by: str):
     """``df`` as a bucketed table in the shared folder, and a function that
     deletes it."""
     spark = df.sparkSession
     name = f"lines_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
 
     def drop() -> None:
         spark.sql(f"DROP TABLE {name}")
@@ -96,12 +102,12 @@ def _bucketed(df: DataFrame, buckets: int, by: str):
 
 # ---------------------------------------------------------------- blocks of lines
 
-_BLOCK = "block_id long, doc array<long>, no array<int>, lh array<long>, n_words array<int>, vocab binary, words binary"
+_BLOCK = "block_id long, doc array<long>, no array<int>, lh array<long>, n array<int>, vocab binary, words binary"
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Blocks of the distinct lines of ``rows(doc, text)``: hashes of a
-    block's distinct words, and its lines as numbers into them."""
+    block's distinct words, and its lines' sets as numbers into them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         block_id = TaskContext.get().partitionId() << 20
@@ -115,10 +121,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-            lists = [(doc, pa.int64()), (no, pa.int32()), (np.array(lh, np.uint64).view(np.int64), pa.int64()), (n_words, pa.int32())]
+            order = np.argsort(vocab)
+            rank = np.empty(len(vocab), np.int64)
+            rank[order] = np.arange(len(vocab))
+            key = np.repeat(np.arange(len(n_words)) * len(vocab), n_words) + rank[np.concatenate(ids)]
+            key.sort()
+            line, word = np.divmod(key[np.concatenate([[True], key[1:] != key[:-1]])], len(vocab))
+            n = np.bincount(line, minlength=len(n_words))
+            lists = [(doc, pa.int64()), (no, pa.int32()), (np.array(lh, np.uint64).view(np.int64), pa.int64()), (n, pa.int32())]
             cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in lists]
             return pa.RecordBatch.from_arrays(
-                [pa.array([block_id], pa.int64()), *cols, pa.array([pack(vocab)], pa.binary()), pa.array([pack(np.concatenate(ids))], pa.binary())],
+                [pa.array([block_id], pa.int64()), *cols, pa.array([pack_sorted(vocab[order])], pa.binary()), pa.array([pack(word.astype(np.int32))], pa.binary())],
                 names=[f.split()[0] for f in _BLOCK.split(", ")],
             )
 
@@ -158,17 +171,9 @@ class _Block:
     def __init__(self, batch: pa.RecordBatch, i: int) -> None:
         self.col = lambda name: batch.column(batch.schema.get_field_index(name))[i]
         self.block_id = self.col("block_id").as_py()
-        vocab = unpack(self.col("vocab").as_py())
-        order = np.argsort(vocab)
-        rank = np.empty(len(vocab), np.int64)
-        rank[order] = np.arange(len(vocab))
-        self.vocab = vocab[order]
-        n_words = self.col("n_words").values.to_numpy().astype(np.int64)
-        key = np.repeat(np.arange(len(n_words)) * len(vocab), n_words) + rank[unpack(self.col("words").as_py())]
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        line, self.word = np.divmod(key, len(vocab))
-        self.n = np.bincount(line, minlength=len(n_words))
+        self.vocab = unpack_sorted(self.col("vocab").as_py())
+        self.n = self.col("n").values.to_numpy().astype(np.int64)
+        self.word = unpack(self.col("words").as_py()).astype(np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.n)])
 
     def only(self, idx: np.ndarray) -> np.ndarray:
@@ -206,7 +211,7 @@ def _in_block(rows: DataFrame, of: str, *carry: str) -> DataFrame:
 def _prefixes(blocks: DataFrame, classes: DataFrame, num: int, den: int, reducers: int) -> DataFrame:
     """The prefix of one line of each class, as lists of tokens and places in
     its order; none of lines that can't match."""
-    work = blocks.join(_in_block(classes, "uid", "doc", "no"), "block_id")
+    work = blocks.join(_in_block(classes, "uid", "doc", _spot().alias("spot")), "block_id")
     edges = np.array([(r << 48) // reducers for r in range(reducers)] + [1 << 48], np.uint64)
 
     def chosen(k: _Block) -> tuple[np.ndarray, pa.StructArray]:
@@ -236,7 +241,7 @@ def _prefixes(blocks: DataFrame, classes: DataFrame, num: int, den: int, reducer
         return pa.table({"block_id": t.column("block_id"), "r": t.column("r"), "df": pa.array([pack(x) for x in mine], pa.binary())})
 
     answers = work.mapInArrow(ask, "r int, block_id long, tokens binary, n binary").groupBy("r").applyInArrow(answer, "block_id long, r int, df binary")
-    answers = answers.groupBy("block_id").agg(F.collect_list(F.struct("r", "df")).alias("answers"))
+    answers = materialize(answers.groupBy("block_id").agg(F.collect_list(F.struct("r", "df")).alias("answers")), "lines-answers", sweep=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
@@ -266,14 +271,14 @@ def _prefixes(blocks: DataFrame, classes: DataFrame, num: int, den: int, reducer
                 count = np.bincount(line[keep], minlength=len(n))
                 edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((k.block_id << 20) + idx.astype(np.int64)), lines.field("doc"), lines.field("no"), pa.array(n.astype(np.int32)),
+                    [pa.array((k.block_id << 20) + idx.astype(np.int64)), lines.field("doc"), lines.field("spot"), pa.array(n.astype(np.int32)),
                      *(pa.array(np.ascontiguousarray(bits[:, w])) for w in range(BITMAP)),
                      pa.ListArray.from_arrays(pa.array(edge), pa.array(token)), pa.ListArray.from_arrays(pa.array(edge), pa.array(pos[keep].astype(np.int32)))],
-                    names=["uid", "doc", "no", "n", *(f"w{w}" for w in range(BITMAP)), "tokens", "at"],
+                    names=["uid", "doc", "spot", "n", *(f"w{w}" for w in range(BITMAP)), "tokens", "at"],
                 ).filter(pa.array(count > 0))
 
     words = "".join(f", w{w} long" for w in range(BITMAP))
-    return work.join(answers, "block_id").mapInArrow(cut, f"uid long, doc long, no int, n int{words}, tokens array<int>, at array<int>")
+    return work.join(answers, "block_id").mapInArrow(cut, f"uid long, doc long, spot long, n int{words}, tokens array<int>, at array<int>")
 
 
 def _sets(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -306,11 +311,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     first = _facts(blocks).groupBy("lh").agg(
         F.min("doc").alias("doc"), F.min("no").alias("no"), F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("n", "f1", "f2")]
     )
-    first = materialize(first, "lines-first")
-    classes = materialize(first.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min(F.struct("doc", "no")).alias("p")).select("n", "f1", "f2", "uid", "p.*"), "lines-classes")
+    first = materialize(first, "lines-first", sweep=True)
+    classes = materialize(first.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min(F.struct("doc", "no", "lh")).alias("p")).select("n", "f1", "f2", "uid", "p.*"), "lines-classes", sweep=True)
     total = classes.agg(F.sum("n")).first()[0] or 0
     reducers = max(2 * partitions(spark), -(-total // TOKENS_PER_REDUCER))
-    active = materialize(_prefixes(blocks, classes, num, den, reducers), "lines-prefixes", sweep=True)
+    active = _prefixes(blocks, classes, num, den, reducers)
 
     def alike(a, b):
         return F.greatest(a, b) * num <= F.least(a, b) * den
@@ -344,20 +349,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     # one exchange, by token, into buckets that later joins read in place
     words = [f"w{w}" for w in range(BITMAP)]
-    cols = ("uid", "n", "pos", "doc", "no", *words)
-    n_rows = active.agg(F.sum(F.size("at"))).first()[0] or 0
-    buckets = max(partitions(spark), n_rows // ROWS_PER_BUCKET)
-    rows = active.select("uid", "doc", "no", "n", *words, F.explode(F.arrays_zip("tokens", "at")).alias("e"))
+    cols = ("uid", "n", "pos", "doc", "spot", *words)
+    buckets = max(partitions(spark), total // TOKENS_PER_BUCKET)
+    rows = active.select("uid", "doc", "spot", "n", *words, F.explode(F.arrays_zip("tokens", "at")).alias("e"))
     # 32 bits tell tokens apart well enough for candidates
-    rows = rows.select(F.col("e.tokens").alias("token"), F.col("e.at").alias("pos"), "uid", "doc", "no", "n", *words).repartition(buckets, "token")
+    rows = rows.select(F.col("e.tokens").alias("token"), F.col("e.at").alias("pos"), "uid", "doc", "spot", "n", *words).repartition(buckets, "token")
     of = Window.partitionBy("token")
-    earliest = F.min(F.struct("doc", "no", "uid", "n", "pos", *words)).over(of)
+    earliest = F.min(F.struct("doc", "spot", "uid", "n", "pos", *words)).over(of)
     rows = rows.withColumns({"k": F.count("*").over(of), "e": earliest}).where("k > 1")
     rows = rows.select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
-    star = F.when((F.struct("e_doc", "e_no") < F.struct("doc", "no")) & may_match("", "e_"), F.col("e_uid"))
+    star = F.when((F.struct("e_doc", "e_spot", "e_uid") < F.struct("doc", "spot", "uid")) & may_match("", "e_"), F.col("e_uid"))
     rows, drop_rows = _bucketed(rows.select("token", *cols, star.alias("star")), buckets, "token")
     release_shuffles(spark)
-    drop_table(active)
 
     def enough(pairs: DataFrame) -> DataFrame:
         """Pairs that share as many prefix tokens as they must."""
@@ -373,7 +376,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     later = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
     done = gone.select(F.col("b").alias("b_uid"))
     later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_uid", "left_anti")
-    before = F.struct("a_doc", "a_no") < F.struct("b_doc", "b_no")
+    before = F.struct("a_doc", "a_spot", "a_uid") < F.struct("b_doc", "b_spot", "b_uid")
     pairs = later.join(earlier, "token").where(before & may_match("a_", "b_"))
     need = F.least(_matches("a_n"), _matches("b_n"))
     gone = gone.unionByName(verified(enough(pairs.select(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"), need.alias("need")))))
@@ -381,8 +384,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     drop_blocks()
     release_shuffles(spark)
 
-    left = classes.join(gone.withColumnRenamed("b", "uid"), "uid", "left_anti").select("n", "f1", "f2", F.col("doc").alias("p_doc"), F.col("no").alias("p_no"))
-    stays = first.join(left, ["n", "f1", "f2"]).where("doc = p_doc AND no = p_no").groupBy("doc").agg(F.collect_list("lh").alias("stay"))
+    left = classes.join(gone.withColumnRenamed("b", "uid"), "uid", "left_anti").select("n", "f1", "f2", "lh")
+    stays = first.join(left, ["n", "f1", "f2", "lh"]).groupBy("doc").agg(F.collect_list("lh").alias("stay"))
     body = docs.select(doc.alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     out = body.join(stays, "doc", "left").withColumn("every", _lines(F.col(f"d.{text}")))
     out = out.withColumn("kept", F.filter("every", lambda x: F.array_contains(F.coalesce("stay", F.array().cast("array<bigint>")), F.xxhash64(x))))
