@@ -11,8 +11,7 @@ their whole sets.
 
 The place of a distinct line is its first document and, there, its least line
 number in any document; ties go by a hash of the line.  A line is removed
-wherever it isn't at its place,
-and also there if it matches any line with an earlier place.  As only that
+wherever it isn't at its place, and also there if it matches any line with an earlier place.  As only that
 is asked for, the lines of a prefix token are first compared with the token's
 earliest line alone; lines that are thereby removed need no other partner,
 which leaves few for the join of open lines with all earlier ones.
@@ -80,11 +79,6 @@ def _matches(n: str):
     return F.floor(F.col(n) / TOKENS_PER_MATCH).cast("int") + 1
 
 
-def _spot():
-    """Line number and the upper half of the line's hash, in that order."""
-    return F.shiftleft(F.col("no").cast("long"), 32) + F.shiftright("lh", 32) + F.lit(1 << 31)
-
-
 def _bucketed(df: DataFrame, buckets: int, by: str):
     """``df`` as a bucketed table in the shared folder, and a function that
     deletes it."""
@@ -211,7 +205,7 @@ def _in_block(rows: DataFrame, of: str, *carry: str) -> DataFrame:
 def _prefixes(blocks: DataFrame, classes: DataFrame, num: int, den: int, reducers: int) -> DataFrame:
     """The prefix of one line of each class, as lists of tokens and places in
     its order; none of lines that can't match."""
-    work = blocks.join(_in_block(classes, "uid", "doc", _spot().alias("spot")), "block_id")
+    work = blocks.join(_in_block(classes, "uid", "rank"), "block_id")
     edges = np.array([(r << 48) // reducers for r in range(reducers)] + [1 << 48], np.uint64)
 
     def chosen(k: _Block) -> tuple[np.ndarray, pa.StructArray]:
@@ -271,31 +265,32 @@ def _prefixes(blocks: DataFrame, classes: DataFrame, num: int, den: int, reducer
                 count = np.bincount(line[keep], minlength=len(n))
                 edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((k.block_id << 20) + idx.astype(np.int64)), lines.field("doc"), lines.field("spot"), pa.array(n.astype(np.int32)),
+                    [lines.field("rank"), pa.array(n.astype(np.int32)),
                      *(pa.array(np.ascontiguousarray(bits[:, w])) for w in range(BITMAP)),
                      pa.ListArray.from_arrays(pa.array(edge), pa.array(token)), pa.ListArray.from_arrays(pa.array(edge), pa.array(pos[keep].astype(np.int32)))],
-                    names=["uid", "doc", "spot", "n", *(f"w{w}" for w in range(BITMAP)), "tokens", "at"],
+                    names=["rank", "n", *(f"w{w}" for w in range(BITMAP)), "tokens", "at"],
                 ).filter(pa.array(count > 0))
 
     words = "".join(f", w{w} long" for w in range(BITMAP))
-    return work.join(answers, "block_id").mapInArrow(cut, f"uid long, doc long, spot long, n int{words}, tokens array<int>, at array<int>")
+    return work.join(answers, "block_id").mapInArrow(cut, f"rank long, n int{words}, tokens array<int>, at array<int>")
 
 
 def _sets(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(uid, set) of the lines in ``wanted(uid)``."""
+    """(rank, set) of the lines in ``wanted(uid, rank)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 k = _Block(b, i)
-                idx = k.col("lines").values.field("idx").to_numpy().astype(np.int64)
+                lines = k.col("lines").values
+                idx = lines.field("idx").to_numpy()
                 edge = np.concatenate([[0], np.cumsum(k.n[idx])]).astype(np.int32)
                 members = k.vocab[k.word[k.only(idx)]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((k.block_id << 20) + idx), pa.ListArray.from_arrays(pa.array(edge), pa.array(members))], names=["uid", "set"]
+                    [lines.field("rank"), pa.ListArray.from_arrays(pa.array(edge), pa.array(members))], names=["rank", "set"]
                 )
 
-    return blocks.join(_in_block(wanted, "uid"), "block_id").mapInArrow(run, "uid long, set array<long>")
+    return blocks.join(_in_block(wanted, "uid", "rank"), "block_id").mapInArrow(run, "rank long, set array<long>")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -312,7 +307,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         F.min("doc").alias("doc"), F.min("no").alias("no"), F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("n", "f1", "f2")]
     )
     first = materialize(first, "lines-first", sweep=True)
-    classes = materialize(first.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min(F.struct("doc", "no", "lh")).alias("p")).select("n", "f1", "f2", "uid", "p.*"), "lines-classes", sweep=True)
+    classes = first.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min(F.struct("doc", "no", "lh")).alias("p"))
+    # numbered in the order of their places
+    classes = classes.orderBy("p").select("n", "f1", "f2", "uid", "p.lh", F.monotonically_increasing_id().alias("rank"))
+    classes = materialize(classes, "lines-classes", sweep=True)
     total = classes.agg(F.sum("n")).first()[0] or 0
     reducers = max(2 * partitions(spark), -(-total // TOKENS_PER_REDUCER))
     active = _prefixes(blocks, classes, num, den, reducers)
@@ -338,9 +336,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines ``b`` of pairs that do match."""
         pairs = materialize(pairs, "lines-pairs", sweep=True)
-        members = materialize(_sets(blocks, pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "lines-sets")
-        a = members.select(F.col("uid").alias("a"), F.col("set").alias("sa"))
-        b = members.select(F.col("uid").alias("b"), F.col("set").alias("sb"))
+        members = materialize(_sets(blocks, classes.join(pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct(), "rank")), "lines-sets")
+        a = members.select(F.col("rank").alias("a"), F.col("set").alias("sa"))
+        b = members.select(F.col("rank").alias("b"), F.col("set").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         out = pairs.join(a, "a").join(b, "b").where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("b").distinct()
         out = materialize(out, "lines-gone", sweep=True)
@@ -349,16 +347,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     # one exchange, by token, into buckets that later joins read in place
     words = [f"w{w}" for w in range(BITMAP)]
-    cols = ("uid", "n", "pos", "doc", "spot", *words)
+    cols = ("rank", "n", "pos", *words)
     buckets = max(partitions(spark), total // TOKENS_PER_BUCKET)
-    rows = active.select("uid", "doc", "spot", "n", *words, F.explode(F.arrays_zip("tokens", "at")).alias("e"))
+    rows = active.select("rank", "n", *words, F.explode(F.arrays_zip("tokens", "at")).alias("e"))
     # 32 bits tell tokens apart well enough for candidates
-    rows = rows.select(F.col("e.tokens").alias("token"), F.col("e.at").alias("pos"), "uid", "doc", "spot", "n", *words).repartition(buckets, "token")
+    rows = rows.select(F.col("e.tokens").alias("token"), F.col("e.at").alias("pos"), "rank", "n", *words).repartition(buckets, "token")
     of = Window.partitionBy("token")
-    earliest = F.min(F.struct("doc", "spot", "uid", "n", "pos", *words)).over(of)
+    earliest = F.min(F.struct("rank", "n", "pos", *words)).over(of)
     rows = rows.withColumns({"k": F.count("*").over(of), "e": earliest}).where("k > 1")
     rows = rows.select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
-    star = F.when((F.struct("e_doc", "e_spot", "e_uid") < F.struct("doc", "spot", "uid")) & may_match("", "e_"), F.col("e_uid"))
+    star = F.when(((F.col("e_rank") < F.col("rank"))) & may_match("", "e_"), F.col("e_rank"))
     rows, drop_rows = _bucketed(rows.select("token", *cols, star.alias("star")), buckets, "token")
     release_shuffles(spark)
 
@@ -368,23 +366,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     # each line against the earliest one of its prefix tokens: a line that has
     # fewer tokens in common with it than it needs stays open
-    star = rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("uid").alias("b"), _matches("n").alias("need"))
+    star = rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("rank").alias("b"), _matches("n").alias("need"))
     gone = verified(enough(star))
 
     # lines still open against all earlier ones
     earlier = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
     later = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
-    done = gone.select(F.col("b").alias("b_uid"))
-    later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_uid", "left_anti")
-    before = F.struct("a_doc", "a_spot", "a_uid") < F.struct("b_doc", "b_spot", "b_uid")
-    pairs = later.join(earlier, "token").where(before & may_match("a_", "b_"))
+    done = gone.select(F.col("b").alias("b_rank"))
+    later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_rank", "left_anti")
+    pairs = later.join(earlier, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
     need = F.least(_matches("a_n"), _matches("b_n"))
-    gone = gone.unionByName(verified(enough(pairs.select(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"), need.alias("need")))))
+    gone = gone.unionByName(verified(enough(pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"), need.alias("need")))))
     drop_rows()
     drop_blocks()
     release_shuffles(spark)
 
-    left = classes.join(gone.withColumnRenamed("b", "uid"), "uid", "left_anti").select("n", "f1", "f2", "lh")
+    left = classes.join(gone.withColumnRenamed("b", "rank"), "rank", "left_anti").select("n", "f1", "f2", "lh")
     stays = first.join(left, ["n", "f1", "f2", "lh"]).groupBy("doc").agg(F.collect_list("lh").alias("stay"))
     body = docs.select(doc.alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     out = body.join(stays, "doc", "left").withColumn("every", _lines(F.col(f"d.{text}")))
