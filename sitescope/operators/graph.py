@@ -13,6 +13,8 @@ from sitescope.plans.lineage import cut
 # Seconds lost at a signal, a crossing and a turn, the share of
 # the speed that is left on slow surfaces, and the metres within which turns are one.
 SIGNAL_S, CROSSING_S, TURN_S, SLOW_SHARE, TURN_GAP_M = 30.0, 2.0, 10.0, 0.65, 25.0
+#: Nodes of a part in path searches, as a power of 2.
+PART_BITS = 14
 
 
 def both_ways(edges: DataFrame, weight: str = "w") -> DataFrame:
@@ -47,34 +49,55 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", roun
     return best
 
 
-def path_distances_by_group(edges: DataFrame, sources: DataFrame, weight: str = "w") -> DataFrame:
-    """(grp, node, d): one search for each group of sources, side by side.
+def path_distances_by_group(edges: DataFrame, sources: DataFrame, weight: str = "w", part_bits: int = PART_BITS) -> DataFrame:
+    """(grp, node, d): distance from the nearest source of each group.
 
-    For street networks that fit a task: every group gets the edges with the
-    sources' group attached, and a heap search runs where they meet.
+    Nodes are dealt into parts of ``2 ** part_bits`` consecutive ids.  In each
+    round a part searches by heap from its nodes that got nearer, and offers
+    distances to the nodes of other parts that its edges lead to; it ends
+    when no offer is nearer.  Weights are not negative.
     """
-    e = both_ways(edges, weight)
+    part = lambda c: F.shiftright(F.col(c).cast("long"), part_bits).alias("part")
+    e = cut(both_ways(edges, weight).select("src", "dst", weight, part("src")))
 
-    def search(t_edges: pa.Table, t_sources: pa.Table) -> pa.Table:
+    def relax(t_state: pa.Table, t_edges: pa.Table) -> pa.Table:
         near: dict[int, list[tuple[int, float]]] = {}
-        for a, b, w in zip(*(t_edges.column(c).to_pylist() for c in ("src", "dst", weight)), strict=True):
-            near.setdefault(a, []).append((b, w))
-        done: dict[int, float] = {}
-        todo = [(d, n) for n, d in zip(t_sources.column("node").to_pylist(), t_sources.column("d").to_pylist(), strict=True)]
-        heapq.heapify(todo)
-        while todo:
-            d, n = heapq.heappop(todo)
-            if n in done:
-                continue
-            done[n] = d
-            for m, w in near.get(n, ()):
-                if m not in done:
-                    heapq.heappush(todo, (d + w, m))
-        g = t_sources.column("grp")[0].as_py()
-        return pa.table({"grp": pa.array([g] * len(done), pa.int64()), "node": pa.array(list(done), pa.int64()), "d": pa.array([float(v) for v in done.values()], pa.float64())})
-
-    per = sources.select(F.col("grp").alias("of")).distinct().join(e)
-    return sources.groupBy("grp").cogroup(per.groupBy("of")).applyInArrow(lambda a, b: search(b, a) if a.num_rows else a.select(["grp", "node"]).append_column("d", pa.array([], pa.float64())), "grp long, node long, d double")
+        groups: dict[int, tuple[dict[int, float], list[tuple[float, int]]]] = {}
+        for g, n, d, fresh in zip(*(t_state.column(c).to_pylist() for c in ("grp", "node", "d", "fresh")), strict=True):
+            best, todo = groups.setdefault(g, ({}, []))
+            best[n] = d
+            if fresh:
+                todo.append((d, n))
+        if any(todo for _, todo in groups.values()):
+            for a, b, w in zip(*(t_edges.column(c).to_pylist() for c in ("src", "dst", weight)), strict=True):
+                near.setdefault(a, []).append((b, w))
+        rows: list[tuple[int, int, float, bool]] = []
+        for g, (best, todo) in groups.items():
+            offers: dict[int, float] = {}
+            heapq.heapify(todo)
+            while todo:
+                d, n = heapq.heappop(todo)
+                if d > best[n]:
+                    continue
+                mine = n >> part_bits
+                for m, w in near.get(n, ()):
+                    to = best if m >> part_bits == mine else offers
+                    if m not in to or d + w < to[m]:
+                        to[m] = d + w
+                        if to is best:
+                            heapq.heappush(todo, (d + w, m))
+            rows += [(g, n, float(d), False) for n, d in best.items()] + [(g, n, float(d), True) for n, d in offers.items()]
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        cols = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["grp", "node", "d", "fresh"])
+
+    # of equal distances the one that was searched from already stays
+    nearest = lambda s: cut(s.groupBy("grp", "node").agg(F.min(F.struct("d", "fresh")).alias("b")).select("grp", "node", "b.d", "b.fresh"))
+    state = nearest(sources.select(F.col("grp").cast("long"), F.col("node").cast("long"), F.col("d").cast("double"), F.lit(True).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        out = state.withColumn("part", part("node")).groupBy("part").cogroup(e.groupBy("part")).applyInArrow(relax, "grp long, node long, d double, fresh boolean")
+        state = nearest(out)
+    return state.select("grp", "node", "d")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def smallest_polygon(spark, sf):
 
 
 def _edges(spark, sf):
-    k = load(spark, sf, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("k"))
+    k = load(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     return k.select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst"), (F.col("k") % 7 + 1).alias("w")).unionByName(k.select(F.col("k").alias("src"), (F.col("k") + 20).alias("dst"), (F.col("k") % 5 + 3).alias("w")))
 
 
@@ -122,7 +122,7 @@ def shortest_path(spark, sf):
 
 
 def route_to_sites(spark, sf):
-    s = load(spark, sf, "supplier").where("s_suppkey < 100").select((F.col("s_suppkey") % 3).alias("grp"), (F.col("s_suppkey") * 4 % 400).alias("node"), (F.col("s_suppkey") % 5).cast("double").alias("d"))
+    s = load(spark, sf, "supplier").select((F.col("s_suppkey") % 3).alias("grp"), (F.col("s_suppkey") * 4).alias("node"), (F.col("s_suppkey") % 5).cast("double").alias("d"))
     return G.path_distances_by_group(_edges(spark, sf), s)
 
 
