@@ -38,8 +38,9 @@ from sitescope.llm.common import drop_table, materialize, mix, pack, pack_sorted
 #: Counts up to this one are discounted.
 MOST_DISCOUNTED = 5
 PAIRS_PER_REDUCER = 1 << 18
-#: The hash of the end token, and the id of the start before a document.
-END, START = np.uint64(0x5EED0E4D00000001), np.uint64(1 << 62)
+#: The hash of the end token, and the ids of the start before a document and
+#: of any word that training doesn't have.
+END, START, UNSEEN = np.uint64(0x5EED0E4D00000001), np.uint64(1 << 62), np.uint64((1 << 62) + 1)
 
 
 def discounts(n_of: np.ndarray, most: int = MOST_DISCOUNTED) -> np.ndarray:
@@ -163,7 +164,8 @@ def _words(blocks: DataFrame, reducers: int) -> DataFrame:
 
 
 class _Pairs:
-    """The distinct known pairs of a block, in the order they are sent."""
+    """The distinct pairs of a block whose history is known, in the order they
+    are sent; all unknown words after a history are one pair."""
 
     def __init__(self, block: Block, counts: np.ndarray, ids: np.ndarray, hot_from: int, n_train_docs: int, reducers: int) -> None:
         seq, first, n = _stretch(block)
@@ -171,14 +173,14 @@ class _Pairs:
         before = np.empty_like(seq)
         before[1:] = seq[:-1]
         before[first] = v  # the start
-        id_all, c_all = np.append(ids, START), np.append(counts, n_train_docs)
+        id_all, c_all = np.concatenate([ids, [START, UNSEEN]]), np.concatenate([counts, [n_train_docs, 0]])
         self.seq, self.first, self.n = seq, first, n
-        self.known = (c_all[seq] > 0) & (c_all[before] > 0)
-        at = np.flatnonzero(self.known)
-        code, self.back = np.unique(before[at] * np.int64(v) + seq[at], return_inverse=True)
+        at = np.flatnonzero(c_all[before] > 0)
+        next_ = np.where(counts[seq[at]] > 0, seq[at], v + 1)
+        code, self.back = np.unique(before[at] * np.int64(v + 2) + next_, return_inverse=True)
         self.at = at
-        del before
-        prev, word = code // v, code % v
+        del before, next_
+        prev, word = code // (v + 2), code % (v + 2)
         train = np.repeat(block.tags.to_numpy(zero_copy_only=False).astype(np.int64), n)[at]
         own = np.bincount(self.back, weights=train, minlength=len(code)).astype(np.uint32)
         hist, succ = id_all[prev], id_all[word]
@@ -381,7 +383,7 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
                 got = sorted(b.column(b.schema.get_field_index("pairs"))[i].as_py() or [], key=lambda x: x["r"])
                 logp = np.zeros(len(pairs.order))
                 logp[pairs.order] = np.concatenate([np.frombuffer(x["p"], "<f4") for x in got]) if got else logp
-                # a pair with a word or history that training doesn't have backs off to the word
+                # a word after a history that training doesn't have backs off to the word
                 lower = np.log10(np.maximum(uni.p(counts), 1e-300))
                 per_token = lower[pairs.seq]
                 per_token[pairs.at] = logp[pairs.back]
