@@ -12,7 +12,8 @@ space; n-grams of 3 and 4 characters include the spaces at word ends.
 
 Training uses a bounded sample: about ``per_lang`` distinct labelled texts for
 each language, chosen by hash.  Counts over the sample are summed in Spark;
-only n-grams that pass ``min_count`` and that are not ``ratio`` times rarer
+only n-grams that pass ``min_count``, which is less in proportion for
+languages with fewer texts than ``per_lang``, and that are not ``ratio`` times rarer
 than in another language go to the driver.
 
 Defined cases: null texts, and texts without a letter, are ``und`` with score
@@ -155,16 +156,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
           min_count: int = MIN_COUNT, ratio: float = RATIO, bits: int = SLOT_BITS) -> LanguageModel:
     """Fit the filters on about ``per_lang`` distinct texts of each language."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
+    # distinct texts: copies must not thin out the sample
+    n_texts = F.approx_count_distinct(F.xxhash64("text"), 0.02)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(n_texts.alias("n")).limit(65).collect()}
     if len(sizes) > 64:
         raise ValueError("a bitmask holds 64 languages at most")
     if not sizes:
         return LanguageModel([], np.zeros(1 << bits, np.uint64), bits)
     # chosen by the text's hash: all copies of a text or none, and then one of them
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    limit = F.lit(0.0)
+    limit, least = F.lit(0.0), F.lit(min_count)
     for name, n in sizes.items():
         limit = F.when(F.col("lang") == name, F.lit(per_lang / n)).otherwise(limit)
+        # a smaller sample asks for less
+        least = F.when(F.col("lang") == name, F.lit(max(1, round(min_count * min(1.0, n / per_lang))))).otherwise(least)
     sample = rows.where(unit < limit).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -183,7 +188,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
     grams = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = grams.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     grams = grams.withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
-    kept = grams.where((F.col("n") >= min_count) & (F.col("rate") >= F.col("most") * ratio)).select("lang", "gram").toPandas()
+    kept = grams.where((F.col("n") >= least) & (F.col("rate") >= F.col("most") * ratio)).select("lang", "gram").toPandas()
     return LanguageModel.build(
         {name: kept["gram"].to_numpy()[(kept["lang"] == name).to_numpy()].astype(np.int64).view(np.uint64) for name in sizes}, bits
     )
