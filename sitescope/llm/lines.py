@@ -144,12 +144,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
                         n_words.append(len(w))
                         flat += map(numbers.__getitem__, w)
                         k += 1
+                        # also within a document: a line's number in its block has 20 bits
+                        if held + len(flat) >= BLOCK_WORDS or len(doc) >= BLOCK_LINES:
+                            ids.append(np.array(flat, np.int32))
+                            yield block()
+                            block_id += 1
+                            numbers, doc, no, lh, n_words, ids, held = _Numbers(), [], [], [], [], [], 0
+                            flat = []
                 ids.append(np.array(flat, np.int32))
                 held += len(flat)
-                if held >= BLOCK_WORDS or len(doc) >= BLOCK_LINES:
-                    yield block()
-                    block_id += 1
-                    numbers, doc, no, lh, n_words, ids, held = _Numbers(), [], [], [], [], [], 0
         if doc:
             yield block()
         del numbers, doc, no, lh, n_words, ids
