@@ -2,8 +2,9 @@
 
 Everything that must outlive a stage is written as Parquet below the folder
 the cluster names in ``spark.checkpoint.dir``; executors and the driver share
-nothing else.  Only where that setting is missing (tests on one machine) a
-temporary folder is made once per application.
+nothing else.  Only where that setting is missing in local mode (tests on one
+machine) a temporary folder is made once per application; a cluster without it
+is refused.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _own_dirs:
         _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="llm-")
     return _own_dirs[sc.applicationId]
@@ -46,7 +49,7 @@ def materialize(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     if sweep:
         release_shuffles(spark)

@@ -1,67 +1,54 @@
-"""Line dedup by an exact set-similarity join.
-
-A line is the set of its distinct words.  Lines with equal sets are one class;
-tokens are ordered by the number of classes that hold them, rarest first
-(exact counts, exchanged between blocks of lines).  Lines of Jaccard
-similarity ``num / den`` or more share a token of their prefixes, and ``k``
-tokens of prefixes that are ``k - 1`` tokens longer; a token of one class only
-is in no prefix, and a line with too many such tokens matches nothing.
-Candidates pass a length, a positional and a bitmap filter and are verified on
-their whole sets.
-
-The place of a distinct line is its first document and, there, its least line
-number in any document; ties go by a hash of the line.  A line is removed
-wherever it isn't at its place, and also there if it matches any line with an earlier place.  As only that
-is asked for, the lines of a prefix token are first compared with the token's
-earliest line alone; lines that are thereby removed need no other partner,
-which leaves few for the join of open lines with all earlier ones.
-
-Words are split, ordered and cut to prefixes in Arrow batches (a form of
-DataFrame functions only took nearly three times the CPU time allowed); all
-joins, counts of pairs and verifications are DataFrame operations.
+"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+
+A line is the set of its distinct words, each a 58-bit hash under a rarity
+level.  Lines with equal sets are one class.  Words are ordered by rarity: a
+table of ``2**BUCKET_BITS`` counts, of fixed size whatever the corpus, gives
+the level, and the hash decides within a level.  Two sets of Jaccard
+similarity ``num / den`` or more share a word of their prefixes, the first
+``n - ceil(n * num / den) + 1`` words; a word that no other line has is in no
+prefix.  A frequent word is no key of its own: lines whose first shared word
+is frequent share two words of prefixes that are one word longer, and both
+together are the key.  Candidates pass a length, a positional and a bitmap
+filter and are verified on their whole sets.
+
+The place of a class is its first line, by document id, then text, then line.
+A line is removed unless it is at the place of its class, and also there if
+it matches any line with an earlier place.  As only that is asked for, the
+lines of a key are first compared with the key's earliest line alone; lines
+that are thereby removed need no other partner, which leaves few for the join
+of open lines with all earlier ones.
 
 Defined cases: lines without a word match nothing; a null text stays null; a
 document keeps its text to the letter unless a line of it is removed, and
 then its other lines with words are joined by \\n (empty if none is left);
-rows with equal ids are handled alike, as none of them is earlier; null ids
-come first, as one id; an empty table gives an empty result; other columns
-are carried, and those that clash with ``n_lines`` or ``n_removed`` are
-replaced.
+rows with equal ids and different texts are ordered by a hash of the text;
+rows with equal ids and texts are handled alike; null ids come first; an
+empty table gives an empty result; other columns are carried, and those that
+clash with ``n_lines`` or ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import chunks, delete, drop_table, materialize, mix, pack, pack_sorted, partitions, release_shuffles, shared_dir, trim, unpack, unpack_sorted, without
+from sitescope.llm.common import drop_table, materialize, release_shuffles, without
 
 NUM, DEN = 80, 100
-TOKENS_PER_MATCH = 24
-TOKENS_PER_BUCKET = 5_000_000
-#: Most removed lines that are broadcast; more are joined by exchange.
-BROADCAST_LINES = 1_000_000
+#: Bits of a word's hash, below the rarity level.
+HASH_BITS = 58
+#: The counts are a square table: half of the bits are the row.
+BUCKET_BITS = 20
+#: A word is frequent from this count on, or this many times the mean count.
+HOT_COUNT, HOT_MEANS = 4096, 8
+#: Longer lines have a second bitmap.
+LONG_LINE = 96
+#: Most rows of one number that are broadcast; more are joined by exchange.
+BROADCAST_ROWS = 500_000
 #: Null ids come before all others.
 NO_ID = -(1 << 63)
-#: Words, and lines, of a block at which it ends.
-BLOCK_WORDS, BLOCK_LINES = 1 << 20, 1 << 19
-CHUNK = 4 << 20
-TOKENS_PER_REDUCER = 1 << 20
-#: 64-bit words of a set's bitmap.
-BITMAP = 1
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
 
 
 def _has_word(line):
@@ -69,329 +56,177 @@ def _has_word(line):
 
 
 def _lines(text):
-    """Distinct lines that have a word, in order."""
-    return F.array_distinct(F.filter(F.split(text, "\n"), _has_word))
-
-
-def _matches(n: str):
-    """Prefix tokens that a line of ``n`` tokens must share with a match;
-    its prefix has as many tokens more, less one."""
-    return F.floor(F.col(n) / TOKENS_PER_MATCH).cast("int") + 1
-
-
-def _bucketed(df: DataFrame, buckets: int, by: str):
-    """``df`` as a bucketed table in the shared folder, and a function that
-    deletes it."""
-    spark = df.sparkSession
-    name = f"lines_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
-
-    def drop() -> None:
-        spark.sql(f"DROP TABLE {name}")
-        delete(spark, path)
-
-    return spark.table(name), drop
-
-
-# ---------------------------------------------------------------- blocks of lines
-
-_BLOCK = "block_id long, doc array<long>, no array<int>, lh array<long>, n array<int>, vocab binary, words binary"
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of the distinct lines of ``rows(doc, text)``: hashes of a
-    block's distinct words, and its lines' sets as numbers into them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        block_id = TaskContext.get().partitionId() << 20
-        numbers = _Numbers()
-        doc: list[int] = []
-        no: list[int] = []
-        lh: list[int] = []
-        n_words: list[int] = []
-        ids: list[np.ndarray] = []
-        held = 0
-
-        def block() -> pa.RecordBatch:
-            vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-            order = np.argsort(vocab)
-            rank = np.empty(len(vocab), np.int64)
-            rank[order] = np.arange(len(vocab))
-            key = np.repeat(np.arange(len(n_words)) * len(vocab), n_words) + rank[np.concatenate(ids)]
-            key.sort()
-            line, word = np.divmod(key[np.concatenate([[True], key[1:] != key[:-1]])], len(vocab))
-            n = np.bincount(line, minlength=len(n_words))
-            lists = [(doc, pa.int64()), (no, pa.int32()), (np.array(lh, np.uint64).view(np.int64), pa.int64()), (n, pa.int32())]
-            cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in lists]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block_id], pa.int64()), *cols, pa.array([pack_sorted(vocab[order])], pa.binary()), pa.array([pack(word.astype(np.int32))], pa.binary())],
-                names=[f.split()[0] for f in _BLOCK.split(", ")],
-            )
-
-        for b in batches:
-            for c in chunks([b], "text", CHUNK):
-                flat: list[int] = []
-                for d, t in zip(c.column(0).to_pylist(), c.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    k = 0
-                    for line in dict.fromkeys(t.split(b"\n")) if t else ():
-                        w = line.split()
-                        if not w:
-                            continue
-                        doc.append(d)
-                        no.append(k)
-                        lh.append(xxhash.xxh64_intdigest(line, 42))
-                        n_words.append(len(w))
-                        flat += map(numbers.__getitem__, w)
-                        k += 1
-                        # also within a document: a line's number in its block has 20 bits
-                        if held + len(flat) >= BLOCK_WORDS or len(doc) >= BLOCK_LINES:
-                            ids.append(np.array(flat, np.int32))
-                            yield block()
-                            block_id += 1
-                            numbers, doc, no, lh, n_words, ids, held = _Numbers(), [], [], [], [], [], 0
-                            flat = []
-                ids.append(np.array(flat, np.int32))
-                held += len(flat)
-        if doc:
-            yield block()
-        del numbers, doc, no, lh, n_words, ids
-        trim()
-
-    return rows.mapInArrow(run, _BLOCK)
-
-
-class _Block:
-    """A row of the block table: the distinct words of each line, as numbers
-    into ``vocab``, which is in ascending order."""
-
-    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
-        self.col = lambda name: batch.column(batch.schema.get_field_index(name))[i]
-        self.block_id = self.col("block_id").as_py()
-        self.vocab = unpack_sorted(self.col("vocab").as_py())
-        self.n = self.col("n").values.to_numpy().astype(np.int64)
-        self.word = unpack(self.col("words").as_py()).astype(np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.n)])
-
-    def only(self, idx: np.ndarray) -> np.ndarray:
-        """Where the words of the lines ``idx`` are in ``word``."""
-        n = self.n[idx]
-        return np.repeat(self.at[idx] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-
-def _facts(blocks: DataFrame) -> DataFrame:
-    """(uid, doc, no, lh, n, f1, f2) of every line; equal n, f1 and f2 are an
-    equal set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                k = _Block(b, i)
-                start = k.at[:-1]
-                f1 = np.add.reduceat(mix(k.vocab)[k.word], start)
-                f2 = np.bitwise_xor.reduceat((k.vocab * np.uint64(0xC2B2AE3D27D4EB4F))[k.word], start)
-                uid = (k.block_id << 20) + np.arange(len(start))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid), *(k.col(c).values for c in ("doc", "no", "lh")), pa.array(k.n.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
-                    names=["uid", "doc", "no", "lh", "n", "f1", "f2"],
-                )
-
-    return blocks.mapInArrow(run, "uid long, doc long, no int, lh long, n int, f1 long, f2 long")
-
-
-def _in_block(rows: DataFrame, of: str, *carry: str) -> DataFrame:
-    """The lines ``of`` of each block, as one list."""
-    at = F.struct(F.col(of).bitwiseAND((1 << 20) - 1).cast("int").alias("idx"), *carry)
-    return rows.select(F.shiftright(of, 20).alias("block_id"), at.alias("e")).groupBy("block_id").agg(F.collect_list("e").alias("lines"))
-
-
-def _prefixes(blocks: DataFrame, classes: DataFrame, num: int, den: int, reducers: int) -> DataFrame:
-    """The prefix of one line of each class, as lists of tokens and places in
-    its order; none of lines that can't match."""
-    work = blocks.join(_in_block(classes, "uid", "rank"), "block_id")
-    edges = np.array([(r << 48) // reducers for r in range(reducers)] + [1 << 48], np.uint64)
-
-    def chosen(k: _Block) -> tuple[np.ndarray, pa.StructArray]:
-        lines = k.col("lines").values
-        order = np.argsort(lines.field("idx").to_numpy())
-        return lines.field("idx").to_numpy()[order], lines.take(pa.array(order))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                k = _Block(b, i)
-                n = np.bincount(k.word[k.only(chosen(k)[0])], minlength=len(k.vocab)).astype(np.uint32)
-                cut = np.searchsorted(k.vocab >> np.uint64(16), edges)
-                rows = [(r, x, y) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([k.block_id] * len(rows), pa.int64()),
-                     pa.array([pack_sorted(k.vocab[x:y] >> np.uint64(16)) for _, x, y in rows], pa.binary()), pa.array([pack(n[x:y]) for _, x, y in rows], pa.binary())],
-                    names=["r", "block_id", "tokens", "n"],
-                )
-
-    def answer(t: pa.Table) -> pa.Table:
-        tokens = [unpack_sorted(x.as_py()) for x in t.column("tokens")]
-        counts = np.concatenate([unpack(x.as_py()) for x in t.column("n")])
-        all_, back = np.unique(np.concatenate(tokens), return_inverse=True)
-        df = np.minimum(np.bincount(back, weights=counts), 0xFFFFFFFF).astype(np.uint32)[back]
-        mine = np.split(df, np.cumsum([len(x) for x in tokens])[:-1])
-        return pa.table({"block_id": t.column("block_id"), "r": t.column("r"), "df": pa.array([pack(x) for x in mine], pa.binary())})
-
-    answers = work.mapInArrow(ask, "r int, block_id long, tokens binary, n binary").groupBy("r").applyInArrow(answer, "block_id long, r int, df binary")
-    answers = materialize(answers.groupBy("block_id").agg(F.collect_list(F.struct("r", "df")).alias("answers")), "lines-answers", sweep=True)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                k = _Block(b, i)
-                idx, lines = chosen(k)
-                got = sorted(k.col("answers").as_py(), key=lambda x: x["r"])
-                df = np.concatenate([unpack(x["df"]) for x in got])
-                # words of the block in the order of all tokens: rarest first, then by hash
-                order = np.lexsort((k.vocab, df))
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                n = k.n[idx]
-                word = k.word[k.only(idx)]
-                at = np.concatenate([[0], np.cumsum(n)])
-                line = np.repeat(np.arange(len(n)), n)
-                shared = np.add.reduceat((df[word] > 1).astype(np.int64), at[:-1])
-                bits = np.zeros((len(n), BITMAP * 64), np.uint8)
-                bits[line, (k.vocab[word] & np.uint64(BITMAP * 64 - 1)).astype(np.int64)] = 1
-                bits = np.packbits(bits, axis=1).view(np.int64)
-                word = order[np.sort(line * len(order) + rank[word]) - line * len(order)]
-                pos = np.arange(len(word)) - at[:-1][line]
-                need = -(-n * num // den)
-                end = np.where(shared >= need, n - need + 1 + n // TOKENS_PER_MATCH, 0)
-                keep = (pos >= (n - shared)[line]) & (pos < end[line])
-                token = (mix(k.vocab)[word[keep]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                count = np.bincount(line[keep], minlength=len(n))
-                edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [lines.field("rank"), pa.array(n.astype(np.int32)),
-                     *(pa.array(np.ascontiguousarray(bits[:, w])) for w in range(BITMAP)),
-                     pa.ListArray.from_arrays(pa.array(edge), pa.array(token)), pa.ListArray.from_arrays(pa.array(edge), pa.array(pos[keep].astype(np.int32)))],
-                    names=["rank", "n", *(f"w{w}" for w in range(BITMAP)), "tokens", "at"],
-                ).filter(pa.array(count > 0))
-
-    words = "".join(f", w{w} long" for w in range(BITMAP))
-    return work.join(answers, "block_id").mapInArrow(cut, f"rank long, n int{words}, tokens array<int>, at array<int>")
-
-
-def _sets(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rank, set) of the lines in ``wanted(uid, rank)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                k = _Block(b, i)
-                lines = k.col("lines").values
-                idx = lines.field("idx").to_numpy()
-                edge = np.concatenate([[0], np.cumsum(k.n[idx])]).astype(np.int32)
-                members = k.vocab[k.word[k.only(idx)]].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [lines.field("rank"), pa.ListArray.from_arrays(pa.array(edge), pa.array(members))], names=["rank", "set"]
-                )
-
-    return blocks.join(_in_block(wanted, "uid", "rank"), "block_id").mapInArrow(run, "rank long, set array<long>")
+    """Distinct lines, in order."""
+    return F.array_distinct(F.split(text, "\n"))
+
+
+def _level(count: Column) -> Column:
+    """0 for a word seen once; else 1 to 31."""
+    return F.when(count <= 1, 0).otherwise(F.least(F.lit(31), 1 + F.floor(0.68 * F.log2(count)))).cast("tinyint")
+
+
+def _place(doc: str | Column, text) -> list[Column]:
+    doc = F.col(doc) if isinstance(doc, str) else doc
+    return [F.coalesce(doc.cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th")]
+
+
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(uid, doc, th, no, tokens) of each document's distinct lines with words."""
+    t = F.col(f"`{text}`")
+    spaced = F.when(t.rlike(r"[\t\x0b\f\r]"), F.regexp_replace(t, r"[\t\x0b\f\r]", " ")).otherwise(t)
+    rows = docs.where(t.isNotNull()).select(*_place(F.col(f"`{key}`"), t), t.alias("t"), spaced.alias("s"))
+    # lines are told apart as they stand, and split at any space
+    rows = rows.select("doc", "th", F.posexplode(F.when(F.col("s") == F.col("t"), _lines(F.col("s"))).otherwise(
+        F.transform(_lines(F.col("t")), lambda x: F.regexp_replace(x, r"[\t\x0b\f\r]", " ")))).alias("no", "line"))
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    none = F.xxhash64(F.lit("")).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    rows = rows.select("doc", "th", "no", F.array_remove(F.array_distinct(hashes), none).alias("tokens")).where(F.size("tokens") > 0)
+    return rows.select(F.monotonically_increasing_id().alias("uid"), "doc", "th", "no", "tokens")
+
+
+def _rarity(words: DataFrame) -> tuple[DataFrame, int]:
+    """The levels of all buckets, as rows (hi, levels), and the first level
+    that is frequent."""
+    spark = words.sparkSession
+    half = BUCKET_BITS // 2
+    bucket = F.col("t").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int").alias("b")
+    counts = words.select(F.explode("tokens").alias("t")).groupBy(bucket).agg(F.count("*").alias("n"))
+    every = spark.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
+    entry = F.struct(F.col("b").bitwiseAND((1 << half) - 1).alias("lo"), _level(F.col("n")).alias("level"))
+    rows = counts.groupBy(F.shiftright("b", half).alias("hi")).agg(
+        F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["level"]).alias("levels"), F.sum("n").alias("n")
+    )
+    rows = materialize(rows, "lines-rarity")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    hot = max(HOT_COUNT, HOT_MEANS * total / (1 << BUCKET_BITS))
+    return rows, min(31, 1 + math.floor(0.68 * math.log2(hot)))
+
+
+def _ordered(words: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(uid, doc, th, no, n, f1, f2, toks): words by rarity, then hash."""
+    half = BUCKET_BITS // 2
+    table = rarity.agg(F.transform(F.sort_array(F.collect_list(F.struct("hi", "levels"))), lambda x: x["levels"]).alias("t"))
+    rows = words.withColumn("table", table.scalar())
+
+    def keyed(x: Column) -> Column:
+        mask = F.lit((1 << half) - 1)
+        of = F.get(F.get("table", F.shiftright(x, half).bitwiseAND(mask).cast("int")), x.bitwiseAND(mask).cast("int"))
+        return x.bitwiseOR(F.shiftleft(F.coalesce(of, F.lit(0).cast("tinyint")).cast("long"), HASH_BITS))
+
+    rows = rows.select("uid", "doc", "th", "no", F.sort_array(F.transform("tokens", keyed)).alias("toks"))
+    return rows.select(
+        "uid", "doc", "th", "no", F.size("toks").alias("n"),
+        F.xxhash64(F.lit(1), "toks").alias("f1"), F.xxhash64(F.lit(2), "toks").alias("f2"), "toks",
+    )
+
+
+def _bits(half: int) -> Column:
+    """A bitmap of one half of the words: sets differ in as many words at
+    least as their bitmaps in bits."""
+    mine = lambda x: x.bitwiseAND(F.lit(64)) == (64 * half)
+    return F.aggregate(
+        "toks", F.lit(0).cast("long"),
+        lambda acc, x: F.when(mine(x), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc),
+    )
+
+
+def _need(n: str, num: int, den: int) -> Column:
+    """Words that a set of ``n`` shares with any match."""
+    return F.ceil(F.col(n) * num / F.lit(den)).cast("int")
+
+
+def _keys(ordered: DataFrame, classes: DataFrame, hot: int, num: int, den: int) -> DataFrame:
+    """(token, pos, rank, n, w0, w1): the prefix keys of one line of each class."""
+    hot_key = F.lit(hot << HASH_BITS)
+    free = F.col("n") - _need("n", num, den)
+    # lines this short match equal sets only
+    able = F.col("n") * den >= (F.col("n") + 1) * num
+    lines = ordered.where(able).select(
+        "uid", "n", free.alias("free"), F.expr("slice(toks, 1, {} + 2)".format(f"n - cast(ceil(n * {num} / {den}) as int)")).alias("pre"),
+        _bits(0).alias("w0"), F.when(F.col("n") > LONG_LINE, _bits(1)).alias("w1"),
+    )
+    lines = lines.where(F.element_at("pre", -1) >= F.lit(1 << HASH_BITS)).join(classes.select("uid", "rank"), "uid")
+    at = lines.select("rank", "n", "free", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
+    at = at.where((F.col("t") >= F.lit(1 << HASH_BITS)) & ((F.col("t") >= hot_key) | (F.col("pos") <= F.col("free"))))
+    # a frequent word goes with each word after it, which is as frequent
+    after = F.when(F.col("t") >= hot_key, F.expr("slice(pre, pos + 2, size(pre))")).otherwise(F.array("t"))
+    at = at.select("rank", "n", "pos", "t", "w0", "w1", F.explode(after).alias("u"))
+    return at.select(F.when(F.col("t") >= hot_key, F.hash("t", "u")).otherwise(F.hash("t")).alias("token"), "rank", "n", "pos", "w0", "w1")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with matching later lines removed from the text, and the
-    columns n_lines (distinct lines with a word) and n_removed."""
-    spark = docs.sparkSession
+    columns n_lines (distinct lines with a word) and n_removed.  ``num / den``
+    is 3/5 at least."""
+    if num * 5 < den * 3:
+        raise ValueError("similarity must be 3/5 at least")
     docs = without(docs, ["n_lines", "n_removed"])
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    # joins of the blocks read them in place and exchange the other side alone
-    blocks, drop_blocks = _bucketed(_blocks(docs.select(doc.alias("doc"), F.col(text).alias("text"))), partitions(spark), "block_id")
-
-    # where each distinct line comes first: its first document and least line number
-    first = _facts(blocks).groupBy("lh").agg(
-        F.min("doc").alias("doc"), F.min("no").alias("no"), F.min("uid").alias("uid"), *[F.first(c).alias(c) for c in ("n", "f1", "f2")]
-    )
-    first = materialize(first, "lines-first", sweep=True)
-    classes = first.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min(F.struct("doc", "no", "lh")).alias("p"))
-    # numbered in the order of their places
-    classes = classes.orderBy("p").select("n", "f1", "f2", "uid", "p.lh", F.monotonically_increasing_id().alias("rank"))
+    words = materialize(_words(docs, key, text), "lines-words")
+    rarity, hot = _rarity(words)
+    ordered = materialize(_ordered(words, rarity), "lines-ordered", sweep=True)
+    drop_table(words)
+    drop_table(rarity)
+    # one row per class, numbered in the order of places
+    classes = ordered.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc", "th", "no", "uid")).alias("p")).select("p.*")
+    classes = classes.orderBy("doc", "th", "no", "uid").select("doc", "th", "no", "uid", F.monotonically_increasing_id().alias("rank"))
     classes = materialize(classes, "lines-classes", sweep=True)
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    reducers = max(2 * partitions(spark), -(-total // TOKENS_PER_REDUCER))
-    active = _prefixes(blocks, classes, num, den, reducers)
-
-    def alike(a, b):
-        return F.greatest(a, b) * num <= F.least(a, b) * den
 
     def may_match(a: str, b: str):
-        """Length, positional and bitmap filters for two rows of a token."""
-        n = F.col(f"{a}n") + F.col(f"{b}n")
-        # tokens from the shared one on, and those before it, bound the overlap
-        position = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + F.least(F.col(f"{a}pos"), F.col(f"{b}pos"))
-        # sets differ in at least the bits in which they differ
-        differ = sum((F.bit_count(F.col(f"{a}w{w}").bitwiseXOR(F.col(f"{b}w{w}"))) for w in range(BITMAP)), F.lit(0))
-        # a token counts for the pair if it is in both prefixes as long as the pair needs
-        both = F.least(_matches(f"{a}n"), _matches(f"{b}n"))
-        counts = F.lit(True)
-        for x in (a, b):
-            need = F.ceil(F.col(f"{x}n") * num / F.lit(den)).cast("int")
-            counts = counts & (F.col(f"{x}pos") < F.col(f"{x}n") - need + both)
-        return counts & alike(F.col(f"{a}n"), F.col(f"{b}n")) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
+        """Length, positional and bitmap filters for two rows of a key."""
+        na, nb, pa, pb = (F.col(f"{x}{c}") for c in ("n", "pos") for x in (a, b))
+        n = na + nb
+        # words from the shared one on, and those before it, bound the overlap
+        position = F.least(na - pa, nb - pb) + F.least(pa, pb)
+        differ = sum(F.coalesce(F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))), F.lit(0)) for w in ("w0", "w1"))
+        return (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
+
+    cols = ("rank", "n", "pos", "w0", "w1")
+    rows = _keys(ordered, classes, hot, num, den)
+    of = Window.partitionBy("token")
+    rows = rows.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
+    rows = rows.select("token", *cols, "k", *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
+    star = F.when((F.col("e_rank") < F.col("rank")) & may_match("", "e_"), F.col("e_rank"))
+    rows = rows.select("token", *cols, "k", star.alias("star")).where("k > 2 OR star IS NOT NULL")
+    rows = materialize(rows, "lines-rows", sweep=True)
+
+    def small(ranks: DataFrame) -> DataFrame:
+        return F.broadcast(ranks) if ranks.count() <= BROADCAST_ROWS else ranks
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines ``b`` of pairs that do match."""
-        pairs = materialize(pairs, "lines-pairs", sweep=True)
-        members = materialize(_sets(blocks, classes.join(pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct(), "rank")), "lines-sets")
-        a = members.select(F.col("rank").alias("a"), F.col("set").alias("sa"))
-        b = members.select(F.col("rank").alias("b"), F.col("set").alias("sb"))
+        pairs = materialize(pairs.distinct(), "lines-pairs", sweep=True)
+        asked = materialize(classes.select("rank", "uid").join(pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct(), "rank"), "lines-asked")
+        sets = materialize(ordered.select("uid", "toks").join(small(asked), "uid").select("rank", "toks"), "lines-sets")
+        a = sets.select(F.col("rank").alias("a"), F.col("toks").alias("sa"))
+        b = sets.select(F.col("rank").alias("b"), F.col("toks").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
-        out = pairs.join(a, "a").join(b, "b").where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("b").distinct()
+        out = pairs.join(a, "a").join(b, "b").where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select(F.col("b").alias("rank")).distinct()
         out = materialize(out, "lines-gone", sweep=True)
-        drop_table(members)
+        for t in (pairs, asked, sets):
+            drop_table(t)
         return out
 
-    # one exchange, by token, into buckets that later joins read in place
-    words = [f"w{w}" for w in range(BITMAP)]
-    cols = ("rank", "n", "pos", *words)
-    buckets = max(partitions(spark), total // TOKENS_PER_BUCKET)
-    rows = active.select("rank", "n", *words, F.explode(F.arrays_zip("tokens", "at")).alias("e"))
-    # 32 bits tell tokens apart well enough for candidates
-    rows = rows.select(F.col("e.tokens").alias("token"), F.col("e.at").alias("pos"), "rank", "n", *words).repartition(buckets, "token")
-    of = Window.partitionBy("token")
-    earliest = F.min(F.struct("rank", "n", "pos", *words)).over(of)
-    rows = rows.withColumns({"k": F.count("*").over(of), "e": earliest}).where("k > 1")
-    rows = rows.select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
-    star = F.when(((F.col("e_rank") < F.col("rank"))) & may_match("", "e_"), F.col("e_rank"))
-    rows, drop_rows = _bucketed(rows.select("token", *cols, star.alias("star")), buckets, "token")
-    release_shuffles(spark)
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs that share as many prefix tokens as they must."""
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-
-    # each line against the earliest one of its prefix tokens: a line that has
-    # fewer tokens in common with it than it needs stays open
-    star = rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("rank").alias("b"), _matches("n").alias("need"))
-    gone = verified(enough(star))
-
-    # lines still open against all earlier ones
-    earlier = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
-    later = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
-    done = gone.select(F.col("b").alias("b_rank"))
-    later = later.join(F.broadcast(done) if gone.count() <= BROADCAST_LINES else done, "b_rank", "left_anti")
+    # each line against the earliest one of its keys
+    gone = verified(rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("rank").alias("b")))
+    # lines still open against all earlier ones; two lines of a key were compared above
+    more = rows.where("k > 2")
+    earlier = more.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
+    later = more.join(small(gone), "rank", "left_anti").select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
     pairs = later.join(earlier, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
-    need = F.least(_matches("a_n"), _matches("b_n"))
-    gone = gone.unionByName(verified(enough(pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"), need.alias("need")))))
-    drop_rows()
-    drop_blocks()
-    release_shuffles(spark)
-
-    left = classes.join(gone.withColumnRenamed("b", "rank"), "rank", "left_anti").select("n", "f1", "f2", "lh")
-    stays = first.join(left, ["n", "f1", "f2", "lh"]).groupBy("doc").agg(F.collect_list("lh").alias("stay"))
-    body = docs.select(doc.alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    out = body.join(stays, "doc", "left").withColumn("every", _lines(F.col(f"d.{text}")))
-    out = out.withColumn("kept", F.filter("every", lambda x: F.array_contains(F.coalesce("stay", F.array().cast("array<bigint>")), F.xxhash64(x))))
-    lines_of = F.size(F.filter(F.split(F.col(f"d.{text}"), "\n"), _has_word))
-    unchanged = F.col(f"d.{text}").isNull() | ((F.size("kept") == F.size("every")) & (lines_of == F.size("every")))
-    new_text = F.when(unchanged, F.col(f"d.{text}")).otherwise(F.array_join("kept", "\n"))
-    n = F.coalesce(F.size("every"), F.lit(0))
-    cols = [new_text.alias(text) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*cols, n.alias("n_lines"), (n - F.coalesce(F.size("kept"), F.lit(0))).alias("n_removed"))
+    gone = gone.unionByName(verified(pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))))
+
+    stay = classes.join(gone, "rank", "left_anti").groupBy("doc", "th").agg(F.sort_array(F.collect_list("no")).alias("stay"))
+    stay = materialize(stay, "lines-stay", sweep=True)
+    for t in (ordered, classes, rows):
+        drop_table(t)
+    t = F.col(f"d.`{text}`")
+    body = docs.select(*_place(F.col(f"`{key}`"), F.col(f"`{text}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    out = body.join(stay, ["doc", "th"], "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>")))
+    out = out.withColumn("n_lines", F.coalesce(F.size(F.filter(_lines(t), _has_word)), F.lit(0)))
+    whole = t.isNull() | ((F.size("stay") == F.col("n_lines")) & (F.size(F.filter(F.split(t, "\n"), _has_word)) == F.col("n_lines")))
+    out = out.withColumn("all", _lines(t))
+    left = F.array_join(F.transform("stay", lambda i: F.get("all", i)), "\n")
+    new_text = F.when(whole, t).otherwise(left)
+    cols_out = [new_text.alias(text) if c == text else F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*cols_out, "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_removed"))

@@ -60,21 +60,34 @@ def jaccard_components(rows: list[tuple[int, str | None]], width: int = 4, num:
     return {d: (len(s), u.root(d)) for (d, _), s in zip(rows, sets, strict=True)}
 
 
-def dedup_lines(rows: list[tuple[int, str | None]], num: int = 80, den: int = 100) -> dict[int, str | None]:
-    """doc_id -> text left; ids are distinct."""
-    lines: dict[str, tuple[int, int]] = {}
-    per: dict[int, list[str]] = {}
-    for d, t in rows:
+def dedup_lines(rows: list[tuple[int | None, str | None]], num: int = 80, den: int = 100) -> dict[int | None, str | None]:
+    """doc_id -> text left; ids are distinct, null comes first.
+
+    From the definition: lines are taken by document, then number; a line goes
+    if an earlier one has an equal or a similar set of words."""
+    per: dict[int | None, list[str]] = {}
+    seen: list[frozenset[str]] = []
+    holders = defaultdict(list)
+    gone: set[tuple[int | None, int]] = set()
+    known: set[frozenset[str]] = set()
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         per[d] = list(dict.fromkeys(x for x in (t or "").split("\n") if words(x)))
         for no, x in enumerate(per[d]):
-            a, b = lines.get(x, (d, no))
-            lines[x] = (min(a, d), min(b, no))
-    names = sorted(lines, key=lambda x: lines[x])
-    sets = [set(words(x, lower=False)) for x in names]
-    gone = {names[j] for _, j in similar_pairs(sets, num, den)}
+            s = frozenset(words(x, lower=False))
+            common = defaultdict(int)
+            for w in s:
+                for k in holders[w]:
+                    common[k] += 1
+            if s in known or any(den * c >= num * (len(s) + len(seen[k]) - c) for k, c in common.items()):
+                gone.add((d, no))
+            if s not in known:
+                known.add(s)
+                for w in s:
+                    holders[w].append(len(seen))
+                seen.append(s)
     out = {}
     for d, t in rows:
-        kept = [x for x in per[d] if lines[x][0] == d and x not in gone]
+        kept = [x for no, x in enumerate(per[d]) if (d, no) not in gone]
         same = t is None or (len(kept) == len(per[d]) == sum(bool(words(x)) for x in t.split("\n")))
         out[d] = t if same else "\n".join(kept)
     return out

@@ -1,21 +1,15 @@
-"""Documents with more lines than a block of lines holds."""
+"""Documents with many lines, in one task."""
 
 from __future__ import annotations
 
 import brute
-import pytest
 
 from sitescope.llm import lines
 
 
-@pytest.mark.parametrize(("name", "most"), [("BLOCK_LINES", 5), ("BLOCK_WORDS", 40)])
-def test_blocks_end_within_documents(spark, monkeypatch, name, most):
-    monkeypatch.setattr(lines, name, most)
+def test_documents_with_many_lines(spark):
     line = lambda i: " ".join(f"w{(i * j) % 97}" for j in range(1, 8))
     rows = [(1, "\n".join(line(i) for i in range(1, 40))), (2, "\n".join(line(i) + (" x" if i % 2 else "") for i in range(20, 60))), (3, "a\nb\nc\n" * 30)]
+    rows.append((4, "\n".join(f"n{i} m{i % 7}" for i in range(30_000))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
-    got = lines._blocks(df.toDF("doc", "text")).collect()
-    assert max(len(b["n"]) for b in got) <= 5 or name == "BLOCK_WORDS"
-    assert max(sum(b["n"]) for b in got) < 40 + 7 and len({b["block_id"] for b in got}) == len(got)
-    assert sum(len(b["n"]) for b in got) == sum(len({x for x in t.split("\n") if x}) for _, t in rows)
     assert {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()} == brute.dedup_lines(rows)
