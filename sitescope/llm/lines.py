@@ -1,7 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its distinct words, each a 58-bit hash under a rarity
-level.  Lines with equal sets are one class.  Words are ordered by rarity: a
+A line is the set of its distinct words, each a 58-bit hash.  Lines with equal sets are one class.  Words are ordered by rarity: a
 table of ``2**BUCKET_BITS`` counts, of fixed size whatever the corpus, gives
 the level, and the hash decides within a level.  Two sets of Jaccard
 similarity ``num / den`` or more share a word of their prefixes, the first
@@ -29,6 +28,7 @@ clash with ``n_lines`` or ``n_removed`` are replaced.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +43,9 @@ HASH_BITS = 58
 BUCKET_BITS = 20
 #: A word is frequent from this count on, or this many times the mean count.
 HOT_COUNT, HOT_MEANS = 4096, 8
+#: Keys are taken in so many parts, one after another, as their exchange takes
+#: more disk than anything else.
+PASSES = 3
 #: Longer lines have a second bitmap.
 LONG_LINE = 96
 #: Most rows of one number that are broadcast; more are joined by exchange.
@@ -62,7 +65,7 @@ def _lines(text):
 
 def _level(count: Column) -> Column:
     """0 for a word seen once; else 1 to 31."""
-    return F.when(count <= 1, 0).otherwise(F.least(F.lit(31), 1 + F.floor(0.68 * F.log2(count)))).cast("tinyint")
+    return F.when(count <= 1, 0).otherwise(F.least(F.lit(31), 1 + F.floor(0.68 * F.log2(count)))).cast("long")
 
 
 def _place(doc: str | Column, text) -> list[Column]:
@@ -71,29 +74,35 @@ def _place(doc: str | Column, text) -> list[Column]:
 
 
 def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(uid, doc, th, no, tokens) of each document's distinct lines with words."""
+    """(uid, doc, th, no, n, f1, f2, tokens) of each document's distinct
+    lines; equal n, f1 and f2 are an equal set.  Lines without a word have
+    n = 0."""
     t = F.col(f"`{text}`")
-    spaced = F.when(t.rlike(r"[\t\x0b\f\r]"), F.regexp_replace(t, r"[\t\x0b\f\r]", " ")).otherwise(t)
-    rows = docs.where(t.isNotNull()).select(*_place(F.col(f"`{key}`"), t), t.alias("t"), spaced.alias("s"))
+    other = r"[\t\x0b\f\r]"
+    plain = ~(t.contains("\t") | t.contains("\x0b") | t.contains("\f") | t.contains("\r"))
     # lines are told apart as they stand, and split at any space
-    rows = rows.select("doc", "th", F.posexplode(F.when(F.col("s") == F.col("t"), _lines(F.col("s"))).otherwise(
-        F.transform(_lines(F.col("t")), lambda x: F.regexp_replace(x, r"[\t\x0b\f\r]", " ")))).alias("no", "line"))
-    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    none = F.xxhash64(F.lit("")).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    rows = rows.select("doc", "th", "no", F.array_remove(F.array_distinct(hashes), none).alias("tokens")).where(F.size("tokens") > 0)
-    return rows.select(F.monotonically_increasing_id().alias("uid"), "doc", "th", "no", "tokens")
+    spaced = F.when(plain, _lines(t)).otherwise(F.transform(_lines(t), lambda x: F.regexp_replace(x, other, " ")))
+    rows = docs.where(t.isNotNull()).select(*_place(F.col(f"`{key}`"), t), F.posexplode(spaced).alias("no", "line"))
+    mask = F.lit((1 << HASH_BITS) - 1)
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(mask))
+    none = F.xxhash64(F.lit("")).bitwiseAND(mask)
+    rows = rows.select("doc", "th", "no", F.sort_array(F.array_remove(F.array_distinct(hashes), none)).alias("tokens"))
+    return rows.select(
+        F.monotonically_increasing_id().alias("uid"), "doc", "th", "no", F.size("tokens").alias("n"),
+        F.xxhash64(F.lit(1), "tokens").alias("f1"), F.xxhash64(F.lit(2), "tokens").alias("f2"), "tokens",
+    )
 
 
 def _rarity(words: DataFrame) -> tuple[DataFrame, int]:
-    """The levels of all buckets, as rows (hi, levels), and the first level
-    that is frequent."""
+    """The levels of all buckets, each above a word's hash, as rows (hi,
+    levels), and the first level that is frequent."""
     spark = words.sparkSession
     half = BUCKET_BITS // 2
     bucket = F.col("t").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int").alias("b")
     counts = words.select(F.explode("tokens").alias("t")).groupBy(bucket).agg(F.count("*").alias("n"))
     every = spark.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
-    entry = F.struct(F.col("b").bitwiseAND((1 << half) - 1).alias("lo"), _level(F.col("n")).alias("level"))
+    entry = F.struct(F.col("b").bitwiseAND((1 << half) - 1).alias("lo"), F.shiftleft(_level(F.col("n")), HASH_BITS).alias("level"))
     rows = counts.groupBy(F.shiftright("b", half).alias("hi")).agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["level"]).alias("levels"), F.sum("n").alias("n")
     )
@@ -103,31 +112,12 @@ def _rarity(words: DataFrame) -> tuple[DataFrame, int]:
     return rows, min(31, 1 + math.floor(0.68 * math.log2(hot)))
 
 
-def _ordered(words: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(uid, doc, th, no, n, f1, f2, toks): words by rarity, then hash."""
-    half = BUCKET_BITS // 2
-    table = rarity.agg(F.transform(F.sort_array(F.collect_list(F.struct("hi", "levels"))), lambda x: x["levels"]).alias("t"))
-    rows = words.withColumn("table", table.scalar())
-
-    def keyed(x: Column) -> Column:
-        mask = F.lit((1 << half) - 1)
-        of = F.get(F.get("table", F.shiftright(x, half).bitwiseAND(mask).cast("int")), x.bitwiseAND(mask).cast("int"))
-        return x.bitwiseOR(F.shiftleft(F.coalesce(of, F.lit(0).cast("tinyint")).cast("long"), HASH_BITS))
-
-    rows = rows.select("uid", "doc", "th", "no", F.sort_array(F.transform("tokens", keyed)).alias("toks"))
-    return rows.select(
-        "uid", "doc", "th", "no", F.size("toks").alias("n"),
-        F.xxhash64(F.lit(1), "toks").alias("f1"), F.xxhash64(F.lit(2), "toks").alias("f2"), "toks",
-    )
-
-
 def _bits(half: int) -> Column:
     """A bitmap of one half of the words: sets differ in as many words at
     least as their bitmaps in bits."""
-    mine = lambda x: x.bitwiseAND(F.lit(64)) == (64 * half)
     return F.aggregate(
-        "toks", F.lit(0).cast("long"),
-        lambda acc, x: F.when(mine(x), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc),
+        "tokens", F.lit(0).cast("long"),
+        lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc),
     )
 
 
@@ -136,21 +126,31 @@ def _need(n: str, num: int, den: int) -> Column:
     return F.ceil(F.col(n) * num / F.lit(den)).cast("int")
 
 
-def _keys(ordered: DataFrame, classes: DataFrame, hot: int, num: int, den: int) -> DataFrame:
-    """(token, pos, rank, n, w0, w1): the prefix keys of one line of each class."""
-    hot_key = F.lit(hot << HASH_BITS)
-    free = F.col("n") - _need("n", num, den)
+def _prefixes(words: DataFrame, rarity: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(rank, n, free, pre, w0, w1) of one line of each class that may match
+    another: its first words by rarity, then hash, one more than its prefix."""
+    table = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("hi", "levels"))), lambda x: x["levels"]))
+    rows = words.withColumn("table", rarity.agg(table.alias("t")).scalar())
+    mask = F.lit((1 << BUCKET_BITS) - 1)
+    by_rarity = F.transform("tokens", lambda x: x.bitwiseOR(F.get("table", x.bitwiseAND(mask).cast("int"))))
     # lines this short match equal sets only
-    able = F.col("n") * den >= (F.col("n") + 1) * num
-    lines = ordered.where(able).select(
-        "uid", "n", free.alias("free"), F.expr("slice(toks, 1, {} + 2)".format(f"n - cast(ceil(n * {num} / {den}) as int)")).alias("pre"),
+    rows = rows.where(F.col("n") * den >= (F.col("n") + 1) * num)
+    rows = rows.select("uid", "n", "tokens", F.sort_array(by_rarity).alias("toks"))
+    free = F.col("n") - _need("n", num, den)
+    rows = rows.select(
+        "uid", "n", free.alias("free"), F.slice("toks", F.lit(1), free + 2).alias("pre"),
         _bits(0).alias("w0"), F.when(F.col("n") > LONG_LINE, _bits(1)).alias("w1"),
     )
-    lines = lines.where(F.element_at("pre", -1) >= F.lit(1 << HASH_BITS)).join(classes.select("uid", "rank"), "uid")
-    at = lines.select("rank", "n", "free", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
-    at = at.where((F.col("t") >= F.lit(1 << HASH_BITS)) & ((F.col("t") >= hot_key) | (F.col("pos") <= F.col("free"))))
+    return rows.join(classes.select("uid", "rank"), "uid").select("rank", "n", "free", "pre", "w0", "w1")
+
+
+def _keys(prefixes: DataFrame, hot: int) -> DataFrame:
+    """(token, pos, rank, n, w0, w1): the keys of each prefix."""
+    seen, hot_key = F.lit(1 << HASH_BITS), F.lit(hot << HASH_BITS)
+    at = prefixes.select("rank", "n", "free", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
+    at = at.where((F.col("t") >= seen) & ((F.col("t") >= hot_key) | (F.col("pos") <= F.col("free"))))
     # a frequent word goes with each word after it, which is as frequent
-    after = F.when(F.col("t") >= hot_key, F.expr("slice(pre, pos + 2, size(pre))")).otherwise(F.array("t"))
+    after = F.when(F.col("t") >= hot_key, F.slice("pre", F.col("pos") + 2, F.size("pre"))).otherwise(F.array("t"))
     at = at.select("rank", "n", "pos", "t", "w0", "w1", F.explode(after).alias("u"))
     return at.select(F.when(F.col("t") >= hot_key, F.hash("t", "u")).otherwise(F.hash("t")).alias("token"), "rank", "n", "pos", "w0", "w1")
 
@@ -163,14 +163,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         raise ValueError("similarity must be 3/5 at least")
     docs = without(docs, ["n_lines", "n_removed"])
     words = materialize(_words(docs, key, text), "lines-words")
-    rarity, hot = _rarity(words)
-    ordered = materialize(_ordered(words, rarity), "lines-ordered", sweep=True)
-    drop_table(words)
-    drop_table(rarity)
     # one row per class, numbered in the order of places
-    classes = ordered.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc", "th", "no", "uid")).alias("p")).select("p.*")
+    classes = words.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc", "th", "no", "uid")).alias("p")).select("p.*")
     classes = classes.orderBy("doc", "th", "no", "uid").select("doc", "th", "no", "uid", F.monotonically_increasing_id().alias("rank"))
     classes = materialize(classes, "lines-classes", sweep=True)
+    rarity, hot = _rarity(words)
+    prefixes = materialize(_prefixes(words, rarity, classes, num, den), "lines-prefixes", sweep=True)
+    drop_table(rarity)
 
     def may_match(a: str, b: str):
         """Length, positional and bitmap filters for two rows of a key."""
@@ -182,13 +181,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         return (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
 
     cols = ("rank", "n", "pos", "w0", "w1")
-    rows = _keys(ordered, classes, hot, num, den)
     of = Window.partitionBy("token")
-    rows = rows.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
-    rows = rows.select("token", *cols, "k", *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
-    star = F.when((F.col("e_rank") < F.col("rank")) & may_match("", "e_"), F.col("e_rank"))
-    rows = rows.select("token", *cols, "k", star.alias("star")).where("k > 2 OR star IS NOT NULL")
-    rows = materialize(rows, "lines-rows", sweep=True)
+    passes = []
+    for p in range(PASSES):
+        rows = _keys(prefixes, hot).where(F.pmod("token", F.lit(PASSES)) == p)
+        rows = rows.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
+        rows = rows.select("token", *cols, "k", *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
+        star = F.when((F.col("e_rank") < F.col("rank")) & may_match("", "e_"), F.col("e_rank"))
+        rows = rows.select("token", *cols, "k", star.alias("star")).where("k > 2 OR star IS NOT NULL")
+        passes.append(materialize(rows, "lines-rows", sweep=True))
+    drop_table(prefixes)
+    rows = functools.reduce(DataFrame.unionByName, passes)
 
     def small(ranks: DataFrame) -> DataFrame:
         return F.broadcast(ranks) if ranks.count() <= BROADCAST_ROWS else ranks
@@ -197,9 +200,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         """The later lines ``b`` of pairs that do match."""
         pairs = materialize(pairs.distinct(), "lines-pairs", sweep=True)
         asked = materialize(classes.select("rank", "uid").join(pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct(), "rank"), "lines-asked")
-        sets = materialize(ordered.select("uid", "toks").join(small(asked), "uid").select("rank", "toks"), "lines-sets")
-        a = sets.select(F.col("rank").alias("a"), F.col("toks").alias("sa"))
-        b = sets.select(F.col("rank").alias("b"), F.col("toks").alias("sb"))
+        sets = materialize(words.select("uid", "tokens").join(small(asked), "uid").select("rank", "tokens"), "lines-sets")
+        a = sets.select(F.col("rank").alias("a"), F.col("tokens").alias("sa"))
+        b = sets.select(F.col("rank").alias("b"), F.col("tokens").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         out = pairs.join(a, "a").join(b, "b").where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select(F.col("b").alias("rank")).distinct()
         out = materialize(out, "lines-gone", sweep=True)
@@ -218,7 +221,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     stay = classes.join(gone, "rank", "left_anti").groupBy("doc", "th").agg(F.sort_array(F.collect_list("no")).alias("stay"))
     stay = materialize(stay, "lines-stay", sweep=True)
-    for t in (ordered, classes, rows):
+    for t in (words, classes, *passes):
         drop_table(t)
     t = F.col(f"d.`{text}`")
     body = docs.select(*_place(F.col(f"`{key}`"), F.col(f"`{text}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
