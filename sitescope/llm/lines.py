@@ -13,9 +13,9 @@ filter and are verified on their whole sets.
 The place of a class is its first line, by document id, then text, then line.
 A line is removed unless it is at the place of its class, and also there if
 it matches any line with an earlier place.  As only that is asked for, the
-lines of a key are first compared with the key's earliest line alone; lines
-that are thereby removed need no other partner, which leaves few for the join
-of open lines with all earlier ones.
+lines of a key that many have are first compared with the earliest of them
+alone; lines that are thereby removed need no other partner, which leaves few
+for the join of open lines with all earlier ones.
 
 Defined cases: lines without a word match nothing; a null text stays null; a
 document keeps its text to the letter unless a line of it is removed, and
@@ -43,6 +43,8 @@ HASH_BITS = 58
 BUCKET_BITS = 20
 #: A word is frequent from this count on, or this many times the mean count.
 HOT_COUNT, HOT_MEANS = 4096, 8
+#: Lines of a key that are all compared with each other at once.
+FEW_LINES = 64
 #: Keys are taken in so many parts, one after another, as their exchange takes
 #: more disk than anything else.
 PASSES = 3
@@ -184,11 +186,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     of = Window.partitionBy("token")
     passes = []
     for p in range(PASSES):
-        rows = _keys(prefixes, hot).where(F.pmod("token", F.lit(PASSES)) == p)
-        rows = rows.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
-        rows = rows.select("token", *cols, "k", *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
+        keys = _keys(prefixes, hot).where(F.pmod("token", F.lit(PASSES)) == p).repartition("token")
+        lines = keys.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
+        # all pairs of a few lines
+        a, b = (x.select("token", *[F.col(c).alias(f"{n}_{c}") for c in cols]) for x, n in ((keys, "a"), (lines.where(F.col("k") <= FEW_LINES), "b")))
+        pairs = b.join(a, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
+        pairs = pairs.select(F.col("a_rank").alias("a"), *[F.col(f"b_{c}").alias(c) for c in cols])
+        # many: each line and the earliest one
+        lines = lines.where(F.col("k") > FEW_LINES).select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
         star = F.when((F.col("e_rank") < F.col("rank")) & may_match("", "e_"), F.col("e_rank"))
-        rows = rows.select("token", *cols, "k", star.alias("star")).where("k > 2 OR star IS NOT NULL")
+        rows = lines.select("token", star.alias("a"), *cols).unionByName(pairs.withColumn("token", F.lit(None).cast("int")))
         passes.append(materialize(rows, "lines-rows", sweep=True))
     drop_table(prefixes)
     rows = functools.reduce(DataFrame.unionByName, passes)
@@ -210,10 +217,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
             drop_table(t)
         return out
 
-    # each line against the earliest one of its keys
-    gone = verified(rows.where("star IS NOT NULL").select(F.col("star").alias("a"), F.col("rank").alias("b")))
-    # lines still open against all earlier ones; two lines of a key were compared above
-    more = rows.where("k > 2")
+    gone = verified(rows.where("a IS NOT NULL").select("a", F.col("rank").alias("b")))
+    # lines of long lists that are still open, against all earlier ones
+    more = rows.where("token IS NOT NULL")
     earlier = more.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
     later = more.join(small(gone), "rank", "left_anti").select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
     pairs = later.join(earlier, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
