@@ -184,19 +184,23 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     cols = ("rank", "n", "pos", "w0", "w1")
     of = Window.partitionBy("token")
-    passes = []
-    for p in range(PASSES):
-        keys = _keys(prefixes, hot).where(F.pmod("token", F.lit(PASSES)) == p).repartition("token")
+
+    def pairs_or_lines(part: int) -> DataFrame:
+        """Pairs (a, rank) that may match; the lines of keys that many have
+        come with their key, as pairs with the earliest one."""
+        keys = _keys(prefixes, hot).where(F.pmod("token", F.lit(PASSES)) == part).repartition("token")
         lines = keys.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
         # all pairs of a few lines
         a, b = (x.select("token", *[F.col(c).alias(f"{n}_{c}") for c in cols]) for x, n in ((keys, "a"), (lines.where(F.col("k") <= FEW_LINES), "b")))
         pairs = b.join(a, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
-        pairs = pairs.select(F.col("a_rank").alias("a"), *[F.col(f"b_{c}").alias(c) for c in cols])
+        pairs = pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("rank")).distinct()
         # many: each line and the earliest one
         lines = lines.where(F.col("k") > FEW_LINES).select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
         star = F.when((F.col("e_rank") < F.col("rank")) & may_match("", "e_"), F.col("e_rank"))
-        rows = lines.select("token", star.alias("a"), *cols).unionByName(pairs.withColumn("token", F.lit(None).cast("int")))
-        passes.append(materialize(rows, "lines-rows", sweep=True))
+        return lines.select("token", star.alias("a"), *cols).unionByName(pairs, allowMissingColumns=True)
+
+    # each part's plan must go before its exchange can be deleted
+    passes = [materialize(pairs_or_lines(p), "lines-rows", sweep=True) for p in range(PASSES)]
     drop_table(prefixes)
     rows = functools.reduce(DataFrame.unionByName, passes)
 
