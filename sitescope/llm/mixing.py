@@ -7,14 +7,18 @@ source whose target exceeds its size starts its queue over.  The takes are
 range-sorted by virtual finish time over all sources and truncated where
 their running sum would exceed the budget, which is the sum of all sizes.
 
-No step sees a whole source in one task: running sums are local to one of
-4096 slices of a queue, plus the totals of the slices before it; the global
-cut sums a fixed grid of finish times and sorts only the cell it falls into.
+No step sees a whole source in one task: the order's range is cut into equal
+slices, as many as the documents need at ``ROWS_PER_SLICE``; running sums are
+local to a slice, plus the totals of the slices before it.  The cut is found
+by sums over a grid of finish times, as fine, and by sorting the one cell it
+falls into; it is a single finish time with its ties' order, so that a
+document knows from its own row how often it is taken.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source
 of its own, ordered last; repeated rows are separate documents; rows with a
-null id queue like others; an empty table gives an empty result; other
-columns are ignored (:func:`mix`) or carried (:func:`mixed_documents`).
+null id queue like others, ordered by where they stand; an empty table gives
+an empty result; other columns are ignored (:func:`mix`) or carried
+(:func:`mixed_documents`), clashing names too.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from sitescope.llm.common import materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-GRID = 4096
+ROWS_PER_SLICE = 1 << 15
 SEED = "wfq"
 
 
@@ -70,57 +74,72 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     (how often the mix takes it) and taken (words); ``carry`` adds the row itself
     as the struct ``doc``."""
     whole_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
+    name = F.col(f"`{source}`")
+    # a queue's name: never null, in the order of the sources
+    queue_of = F.coalesce(F.concat(F.lit("s"), name.cast("string")), F.lit("t"))
     sized = docs.select(
-        F.monotonically_increasing_id().alias("uid"), *whole_row,
-        F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary")).alias("h"),
+        F.monotonically_increasing_id().alias("uid"), *whole_row, F.col(f"`{key}`").alias("key"), name.alias("source"),
+        queue_of.alias("queue"), word_count(F.col(f"`{text}`")).alias("size"),
     )
-    sized = materialize(sized, "mix-sized")
-    small = sized.select("uid", "key", "source", "size", "h", F.substring("h", 1, 3).alias("slice"))
-    targets = materialize(source_targets(small, weights, max_repeats), "mix-targets")
+    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("key").cast("string"), F.concat(F.lit("null:"), F.col("uid").cast("string")))).cast("binary"))
+    sized = materialize(sized.withColumn("h", order), "mix-sized")
+    targets = materialize(source_targets(sized.select("source", "size"), weights, max_repeats), "mix-targets")
+    facts = sized.agg(F.count("*"), F.sum("size")).first()
+    n, budget = facts[0], facts[1] or 0
+    slices = max(16, -(-n // ROWS_PER_SLICE))
+    # the first 48 bits of the order, as a share of all
+    part = F.floor(F.conv(F.substring("h", 1, 12), 16, 10).cast("double") * (slices / float(1 << 48))).cast("int")
+    small = sized.select("uid", *([] if carry else ["key"]), "queue", "size", "h", part.alias("slice"))
 
     # cumulative words in queue order: totals of the slices before, then inside the slice
-    slices = small.groupBy("source", "slice").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).select(
-        F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), "ahead"
-    )
-    inside = Window.partitionBy("source", "slice").orderBy("h", "size", "key", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    queue = small.withColumn("within", F.sum("size").over(inside))
-    queue = queue.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
-    t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    queue = queue.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    queue = queue.select("uid", "key", "source", "size", "h", "source_size", "target", (F.col("ahead") + F.col("within")).alias("cum"))
-    queue = materialize(queue, "mix-queue")
+    inside = Window.partitionBy("queue", "slice").orderBy("h", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = small.groupBy("queue", "slice").agg(F.sum("size").alias("n"))
+    ahead = ahead.select("queue", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    per = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("queue"), "source_size", "target")
+    queue = small.withColumn("within", F.sum("size").over(inside)).join(ahead.join(per, "queue"), ["queue", "slice"])
+    queue = materialize(queue.withColumn("cum", F.col("ahead") + F.col("within")).drop("slice", "ahead", "within"), "mix-queue")
 
     # a take for each pass over the queue that can finish near time 1
     rounds = F.least(F.lit(max_repeats), F.ceil(F.try_divide("target", "source_size")).cast("int"))
-    takes = queue.where("size > 0 AND target > 0").select(
-        "uid", "key", "source", "size", "h", "target",
-        F.explode(F.sequence(F.lit(0), rounds - 1)).alias("pass"), "cum", "source_size",
-    )
-    takes = takes.select(
-        "uid", "key", "source", "size", "h", "pass",
-        ((F.col("cum") + F.col("pass") * F.col("source_size")) / F.col("target")).alias("vft"),
-    ).withColumn("cell", F.floor(F.col("vft") * GRID))
-    budget = targets.agg(F.sum("source_size")).first()[0] or 0
-    cells = takes.groupBy("cell").agg(F.sum("size").alias("n"))
+    passes = F.when((F.col("size") > 0) & (F.col("target") > 0), F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
+
+    def finish(p):
+        return (F.col("cum") + p * F.col("source_size")) / F.col("target")
+
+    takes = queue.select("uid", "queue", "size", "h", "cum", "source_size", "target", F.explode(passes).alias("pass"))
+    takes = takes.select("uid", "queue", "size", "h", "pass", finish(F.col("pass")).alias("vft"))
+    takes = takes.withColumn("cell", F.floor(F.col("vft") * F.lit(slices)))
     upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") > F.lit(budget))
-    # the one cell in which the budget ends, and the words before it
+    # a row for each cell: as few as the slices
+    cells = takes.groupBy("cell").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    cells = cells.where(F.col("upto") > F.lit(budget))
     cut = cells.agg(F.min(F.struct("cell", (F.col("upto") - F.col("n")).alias("spent")))).first()[0]
-    end, spent = (cut["cell"], cut["spent"]) if cut else (1 << 60, 0)
-    inner = Window.orderBy("vft", F.col("source").asc_nulls_last(), "h", "key", "uid", "pass").rowsBetween(Window.unboundedPreceding, 0)
-    last = takes.where(F.col("cell") == F.lit(end)).withColumn("run", F.lit(spent) + F.sum("size").over(inner))
-    last = last.where(F.col("run") <= F.lit(budget)).select("uid")
-    whole = takes.where(F.col("cell") < F.lit(end)).select("uid")
-    counts = whole.unionByName(last).groupBy("uid").agg(F.count("*").alias("takes"))
-    out = queue.select("uid", "source_size", "target").join(counts, "uid", "left")
-    out = sized.join(out, "uid")
-    return out.select(
-        *["doc"] * carry, F.col("key").alias("mix_key"), "size", "source_size", "target",
-        F.coalesce("takes", F.lit(0)).cast("int").alias("takes"), (F.col("size") * F.coalesce("takes", F.lit(0))).alias("taken"),
-    )
+    rank = ("vft", "queue", "h", "uid", "pass")
+    last = None
+    if cut:
+        # the last take of the mix, in the cell in which the budget ends; before the cell's first, all of an earlier cell
+        inner = Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
+        run = takes.where(F.col("cell") == F.lit(cut["cell"])).withColumn("run", F.lit(cut["spent"]) + F.sum("size").over(inner))
+        last = run.where(F.col("run") <= F.lit(budget)).agg(F.max(F.struct(*rank))).first()[0]
+
+    def taken(p):
+        if not cut:
+            return F.lit(True)
+        cell = F.floor(finish(p) * F.lit(slices))
+        earlier = cell < F.lit(cut["cell"])
+        if last is None:
+            return earlier
+        at = F.struct(finish(p).alias("vft"), F.col("queue"), F.col("h"), F.col("uid"), p.cast("int").alias("pass"))
+        end = F.struct(*[F.lit(last[c]).alias(c) for c in rank])
+        return earlier | ((cell == F.lit(cut["cell"])) & (at <= end))
+
+    out = queue.withColumn("takes", F.size(F.filter(passes, taken)))
+    result = [F.col("size"), "source_size", "target", F.col("takes").cast("int").alias("takes"), (F.col("size") * F.col("takes")).alias("taken")]
+    if not carry:
+        return out.select(F.col("key").alias("mix_key"), *result)
+    out = out.select("uid", *result).drop("size")
+    return sized.select("uid", "doc", "key", "size").join(out, "uid").select("doc", F.col("key").alias("mix_key"), "size", "source_size", "target", "takes", "taken")
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
