@@ -43,16 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
-def materialize(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
+#: Has Spark delete the shuffle files of an execution when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    pins values that depend on task layout, survives lost executors."""
+    pins values that depend on task layout, survives lost executors.  What the
+    write has shuffled is deleted with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    if sweep:
-        release_shuffles(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._llm_path = path
     return out
@@ -65,12 +72,6 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of plans that are done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_llm_path", None)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitescope.llm.blocks import Block, word_blocks
-from sitescope.llm.common import components, drop_table, materialize, mix, pack, pack_sorted, partitions, release_shuffles, unpack, unpack_sorted
+from sitescope.llm.common import components, drop_table, materialize, mix, pack, pack_sorted, partitions, unpack, unpack_sorted
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: Most shared tokens asked for, and the cost of a verification in list entries.
@@ -203,7 +203,7 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     reps = same.select(F.shiftright("rep", 20).alias("block_id"), F.col("rep").bitwiseAND((1 << 20) - 1).alias("idx"))
     reps = reps.groupBy("block_id").agg(F.collect_list("idx").alias("reps"))
     work = blocks.join(reps, "block_id")
-    active = materialize(_active(work, width, num, den, reducers), "jac-active", sweep=True)
+    active = materialize(_active(work, width, num, den, reducers), "jac-active")
     drop_table(blocks)
 
     rows = active.select("uid", "n", "m", "ell", F.explode(F.arrays_zip("toks", "lev")).alias("e")).select(
@@ -247,7 +247,6 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     more = _verified(materialize(pairs, "jac-pairs"), active, num, den)
     edges = materialize(edges.unionByName(more), "jac-edges")
     groups = components(edges, "jac-all").select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    release_shuffles(spark)
 
     name = same.join(groups, "rep", "left").select(
         F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("gn"), F.coalesce("grp", "rep").alias("grp")

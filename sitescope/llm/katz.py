@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.llm.blocks import Block, word_blocks
-from sitescope.llm.common import drop_table, materialize, mix, pack, pack_sorted, partitions, release_shuffles, trim, unpack, unpack_sorted
+from sitescope.llm.common import drop_table, materialize, mix, pack, pack_sorted, partitions, trim, unpack, unpack_sorted
 
 #: Counts up to this one are discounted.
 MOST_DISCOUNTED = 5
@@ -299,7 +299,7 @@ def _pair_table(blocks: DataFrame, uni: Unigrams, hot_from: int, n_train_docs: i
         })
 
     asked = blocks.mapInArrow(ask, _PAIR_REQUEST)
-    return materialize(asked.groupBy("r").applyInArrow(count, _PAIR_TABLE), "katz-bigrams", sweep=True)
+    return materialize(asked.groupBy("r").applyInArrow(count, _PAIR_TABLE), "katz-bigrams")
 
 
 def _counts(k: Block, b: pa.RecordBatch, i: int, reducers: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +357,7 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
     uni = Unigrams.of(tokens, types, n_of)
     answers = words.select("r", F.explode("answers").alias("a")).select("r", "a.block_id", "a.n", "a.ids")
     answers = answers.groupBy("block_id").agg(F.collect_list(F.struct("r", "n", "ids")).alias("answers"))
-    blocks = materialize(raw.join(answers, "block_id"), "katz-counted", sweep=True)
+    blocks = materialize(raw.join(answers, "block_id"), "katz-counted")
     drop_table(raw)
     drop_table(words)
 
@@ -397,5 +397,4 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
                 del k, pairs, got, logp, lower, per_token, base, sums
                 trim()
 
-    release_shuffles(spark)
     return full.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

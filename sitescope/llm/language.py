@@ -1,7 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
 A Bloom filter is kept for every language, bit-sliced: slot ``i`` of the table
-is a 64-bit word whose bit ``l`` belongs to the filter of language ``l``.  One
+is a 64-bit word (one for each 64 languages) whose bit ``l`` belongs to the
+filter of language ``l``.  One
 lookup (the AND of an n-gram's slots) returns all languages that contain the
 n-gram.  A text's n-grams are looked up, the bits are counted for each
 language, the counts are corrected for the filters' false positive rates, and
@@ -24,7 +25,6 @@ language with score 0; columns that clash with the added ones are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -41,8 +41,8 @@ PER_LANG = 1200
 MIN_COUNT = 4
 RATIO = 0.12
 UNKNOWN = "und"
-CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+CHUNK = 1 << 18
+_FIELDS = ["lang_pred", "score", "coverage"]
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _is_letter: np.ndarray | None = None
 
@@ -103,44 +103,46 @@ class LanguageModel:
     table: np.ndarray
     bits: int = SLOT_BITS
 
+    def __post_init__(self) -> None:
+        self.rates = self.false_positive_rates()
+
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], bits: int = SLOT_BITS) -> LanguageModel:
         langs = sorted(grams)
-        if len(langs) > 64:
-            raise ValueError("a bitmask holds 64 languages at most")
-        table = np.zeros(1 << bits, np.uint64)
-        for bit, lang in enumerate(langs):
+        table = np.zeros((-(-len(langs) // 64), 1 << bits), np.uint64)
+        for k, lang in enumerate(langs):
             for s in _slots(grams[lang], bits):
-                table[s] |= np.uint64(1 << bit)
+                table[k // 64, s] |= np.uint64(1 << k % 64)
         return cls(langs, table, bits)
 
     def false_positive_rates(self) -> np.ndarray:
-        fill = [float(((self.table >> np.uint64(b)) & np.uint64(1)).mean()) for b in range(len(self.langs))]
+        fill = [float(((self.table[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(self.langs))]
         return np.array(fill) ** len(_MULT)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram, as bitmasks."""
+        """The languages that contain each n-gram, as bitmasks; in rows of 64
+        languages where there are more."""
         first, *more = _slots(h, self.bits)
-        out = self.table[first]
+        out = self.table[:, first]
         for s in more:
-            out &= self.table[s]
-        return out
+            out &= self.table[:, s]
+        return out[0] if len(out) == 1 else out
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """Share of each text's n-grams that each language contains, corrected."""
         h, doc = text_grams(texts)
-        m = self.masks(h)
+        m = np.atleast_2d(self.masks(h))
         n = np.bincount(doc, minlength=len(texts)).astype(float)[: len(texts)]
-        fp = self.false_positive_rates()
+        fp = self.rates
         out = np.zeros((len(texts), len(self.langs)))
-        for b in range(len(self.langs)):
-            hit = np.bincount(doc[(m >> np.uint64(b)) & np.uint64(1) == 1], minlength=len(texts))[: len(texts)]
-            out[:, b] = np.clip((hit / np.maximum(n, 1) - fp[b]) / (1 - fp[b]), 0, 1)
+        for k in range(len(self.langs)):
+            hit = np.bincount(doc[(m[k // 64] >> np.uint64(k % 64)) & np.uint64(1) == 1], minlength=len(texts))[: len(texts)]
+            out[:, k] = np.clip((hit / np.maximum(n, 1) - fp[k]) / (1 - fp[k]), 0, 1)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (its part of all corrected shares) and coverage."""
-        real = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        real = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
         lang, score, cover = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if real:
             s = self.shares([texts[i] for i in real])
@@ -158,11 +160,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     # distinct texts: copies must not thin out the sample
     n_texts = F.approx_count_distinct(F.xxhash64("text"), 0.02)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(n_texts.alias("n")).limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("a bitmask holds 64 languages at most")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(n_texts.alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros(1 << bits, np.uint64), bits)
+        return LanguageModel([], np.zeros((0, 1 << bits), np.uint64), bits)
     # chosen by the text's hash: all copies of a text or none, and then one of them
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     limit, least = F.lit(0.0), F.lit(min_count)
@@ -195,23 +195,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred string, score double and coverage double added."""
+    """``docs`` with lang_pred string, score double and coverage double added.
+    Only the text goes through Python."""
     docs = without(docs, ["lang_pred", "score", "coverage"])
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.bits))
-    fields = docs.schema.simpleString()[len("struct<"):-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = LanguageModel(*shared.value)
-        for b in batches:
-            for c in chunks([b], text, CHUNK):
-                lang, score, cover = m.predict(c.column(c.schema.get_field_index(text)).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*c.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(cover)],
-                    names=[*c.schema.names, "lang_pred", "score", "coverage"],
-                )
-
-    del fields
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("coverage", DoubleType())
-    return docs.mapInArrow(run, schema)
+        for column in columns:
+            parts = [pa.StructArray.from_arrays([pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.float64())], _FIELDS)]
+            for c in chunks([pa.RecordBatch.from_arrays([column], ["text"])], "text", CHUNK):
+                lang, score, cover = m.predict(c.column(0).to_pylist())
+                parts.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(cover)], _FIELDS))
+            yield pa.concat_arrays(parts)
+
+    guess = F.arrow_udf(run, "lang_pred string, score double, coverage double")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*columns, guess(F.col(f"`{text}`")).alias("_guess")).select(*columns, *[F.col(f"_guess.{c}") for c in _FIELDS])

@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import drop_table, materialize, release_shuffles, without
+from sitescope.llm.common import drop_table, materialize, without
 
 NUM, DEN = 80, 100
 #: Bits of a word's hash, below the rarity level.
@@ -168,9 +168,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     # one row per class, numbered in the order of places
     classes = words.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc", "th", "no", "uid")).alias("p")).select("p.*")
     classes = classes.orderBy("doc", "th", "no", "uid").select("doc", "th", "no", "uid", F.monotonically_increasing_id().alias("rank"))
-    classes = materialize(classes, "lines-classes", sweep=True)
+    classes = materialize(classes, "lines-classes")
     rarity, hot = _rarity(words)
-    prefixes = materialize(_prefixes(words, rarity, classes, num, den), "lines-prefixes", sweep=True)
+    prefixes = materialize(_prefixes(words, rarity, classes, num, den), "lines-prefixes")
     drop_table(rarity)
 
     def may_match(a: str, b: str):
@@ -193,14 +193,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         # all pairs of a few lines
         a, b = (x.select("token", *[F.col(c).alias(f"{n}_{c}") for c in cols]) for x, n in ((keys, "a"), (lines.where(F.col("k") <= FEW_LINES), "b")))
         pairs = b.join(a, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
-        pairs = pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("rank")).distinct()
+        pairs = pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("rank"))
         # many: each line and the earliest one
         lines = lines.where(F.col("k") > FEW_LINES).select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
         star = F.when((F.col("e_rank") < F.col("rank")) & may_match("", "e_"), F.col("e_rank"))
         return lines.select("token", star.alias("a"), *cols).unionByName(pairs, allowMissingColumns=True)
 
-    # each part's plan must go before its exchange can be deleted
-    passes = [materialize(pairs_or_lines(p), "lines-rows", sweep=True) for p in range(PASSES)]
+    passes = [materialize(pairs_or_lines(p), "lines-rows") for p in range(PASSES)]
     drop_table(prefixes)
     rows = functools.reduce(DataFrame.unionByName, passes)
 
@@ -209,14 +208,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines ``b`` of pairs that do match."""
-        pairs = materialize(pairs.distinct(), "lines-pairs", sweep=True)
+        pairs = materialize(pairs.distinct(), "lines-pairs")
         asked = materialize(classes.select("rank", "uid").join(pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct(), "rank"), "lines-asked")
         sets = materialize(words.select("uid", "tokens").join(small(asked), "uid").select("rank", "tokens"), "lines-sets")
         a = sets.select(F.col("rank").alias("a"), F.col("tokens").alias("sa"))
         b = sets.select(F.col("rank").alias("b"), F.col("tokens").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         out = pairs.join(a, "a").join(b, "b").where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select(F.col("b").alias("rank")).distinct()
-        out = materialize(out, "lines-gone", sweep=True)
+        out = materialize(out, "lines-gone")
         for t in (pairs, asked, sets):
             drop_table(t)
         return out
@@ -230,7 +229,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     gone = gone.unionByName(verified(pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))))
 
     stay = classes.join(gone, "rank", "left_anti").groupBy("doc", "th").agg(F.sort_array(F.collect_list("no")).alias("stay"))
-    stay = materialize(stay, "lines-stay", sweep=True)
+    stay = materialize(stay, "lines-stay")
     for t in (words, classes, *passes):
         drop_table(t)
     t = F.col(f"d.`{text}`")
