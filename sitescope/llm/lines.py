@@ -206,9 +206,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     def small(ranks: DataFrame) -> DataFrame:
         return F.broadcast(ranks) if ranks.count() <= BROADCAST_ROWS else ranks
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def matching(pairs: DataFrame) -> DataFrame:
         """The later lines ``b`` of pairs that do match."""
-        pairs = materialize(pairs.distinct(), "lines-pairs")
         asked = materialize(classes.select("rank", "uid").join(pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct(), "rank"), "lines-asked")
         sets = materialize(words.select("uid", "tokens").join(small(asked), "uid").select("rank", "tokens"), "lines-sets")
         a = sets.select(F.col("rank").alias("a"), F.col("tokens").alias("sa"))
@@ -216,10 +215,23 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         common = F.size(F.array_intersect("sa", "sb"))
         out = pairs.join(a, "a").join(b, "b").where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select(F.col("b").alias("rank")).distinct()
         out = materialize(out, "lines-gone")
-        for t in (pairs, asked, sets):
-            drop_table(t)
+        drop_table(asked)
+        drop_table(sets)
         return out
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """:func:`matching`, first for the pair of each line with the most
+        keys, then for all pairs of the lines that are left."""
+        pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), "lines-pairs")
+        best = materialize(pairs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"), "lines-best")
+        gone = matching(best)
+        rest = materialize(pairs.select("a", "b").join(small(gone.withColumnRenamed("rank", "b")), "b", "left_anti"), "lines-rest")
+        gone = gone.unionByName(matching(rest))
+        for t in (pairs, best, rest):
+            drop_table(t)
+        return gone
+
+    # pairs of short lists, and each line of a long one with its earliest
     gone = verified(rows.where("a IS NOT NULL").select("a", F.col("rank").alias("b")))
     # lines of long lists that are still open, against all earlier ones
     more = rows.where("token IS NOT NULL")
