@@ -11,7 +11,8 @@ The n-gram tables are partitioned and written to the shared folder; they are
 evaluated from bigram to unigram to unknown for each token.  Documents are
 blocks of words (:mod:`blocks`); a block sends its distinct words, then its
 distinct word pairs, with their training counts to the reducers that own
-them, and gets counts, then log probabilities, back in the order sent.  The
+them, and gets counts back in the order sent, with the backoff weights of its
+histories in double precision.  The
 pairs of a history belong to one reducer, except for the few histories with
 more than a part of all tokens: their pairs are dealt out and their sums,
 at most ``4 * reducers`` histories', are collected.
@@ -193,6 +194,12 @@ class _Pairs:
         self.own, self.word_count = own[self.order], c_all[word][self.order]
         self.hot = hot[self.order]
 
+    def run_of(self) -> np.ndarray:
+        """For each pair, in the order they are sent, the number of its history."""
+        new = np.ones(len(self.r), bool)
+        new[1:] = (self.r[1:] != self.r[:-1]) | (self.hist[1:] != self.hist[:-1])
+        return np.cumsum(new) - 1
+
     def requests(self):
         cut = np.flatnonzero(np.concatenate([[True], self.r[1:] != self.r[:-1], [True]])) if len(self.r) else np.zeros(1, np.int64)
         for x, y in zip(cut, cut[1:], strict=False):
@@ -312,7 +319,8 @@ def _counts(k: Block, b: pa.RecordBatch, i: int, reducers: int) -> tuple[np.ndar
 
 
 def _pair_answers(table: DataFrame, uni: Unigrams, keep: np.ndarray, hot: dict[int, tuple[float, float]]) -> DataFrame:
-    """log10 probabilities for each block's pairs: (block_id, r, p)."""
+    """For each block's pairs: (block_id, r, c, totals, alphas), the counts of
+    the pairs, and what each of its histories divides by and backs off with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
@@ -321,21 +329,22 @@ def _pair_answers(table: DataFrame, uni: Unigrams, keep: np.ndarray, hot: dict[i
                 names, runs, is_hot = unpack_sorted(x["hist"]), unpack(x["runs"]).astype(np.int64), unpack(x["hot"]) > 0
                 c, w = unpack(x["counts"]).astype(np.int64), unpack(x["words"]).astype(np.int64)
                 group = np.repeat(np.arange(len(names)), runs)
-                p1 = uni.p(w)
-                total, alpha = _backoff(_sums(group, len(names), c, p1), keep)
+                total, alpha = _backoff(_sums(group, len(names), c, uni.p(w)), keep)
                 for j in np.flatnonzero(is_hot).tolist():
                     total[j], alpha[j] = hot[int(names[j].view(np.int64))]
-                kept = np.where(c <= MOST_DISCOUNTED, keep[np.minimum(c, MOST_DISCOUNTED)], 1.0)
-                p = np.where(c > 0, c * kept / total[group], alpha[group] * p1)
-                logp = np.log10(np.maximum(p, 1e-300))
-                at = [np.cumsum(unpack(a["at"]).astype(np.int64)) for a in x["asked"]]
+                cols: list[list[bytes]] = [[], [], []]
+                for a in x["asked"]:
+                    at = np.cumsum(unpack(a["at"]).astype(np.int64))
+                    g = group[at]
+                    g = g[np.concatenate([[True], g[1:] != g[:-1]])]
+                    for col, v in zip(cols, (pack(_narrow(c[at])), total[g].tobytes(), alpha[g].tobytes()), strict=True):
+                        col.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a["block_id"] for a in x["asked"]], pa.int64()), pa.array([x["r"]] * len(at), pa.int32()),
-                     pa.array([logp[a].astype("<f4").tobytes() for a in at], pa.binary())],
-                    names=["block_id", "r", "p"],
+                    [pa.array([a["block_id"] for a in x["asked"]], pa.int64()), pa.array([x["r"]] * len(x["asked"]), pa.int32()), *(pa.array(v, pa.binary()) for v in cols)],
+                    names=["block_id", "r", "c", "totals", "alphas"],
                 )
 
-    return table.mapInArrow(run, "block_id long, r int, p binary")
+    return table.mapInArrow(run, "block_id long, r int, c binary, totals binary, alphas binary")
 
 
 def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,7 +380,7 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
     rows = sums.collect()  # 4 * reducers histories at most
     total, alpha = _backoff(np.array([r[1:] for r in rows], float).reshape(-1, MOST_DISCOUNTED + 2), keep)
     hot = {r[0]: (float(t), float(a)) for r, t, a in zip(rows, total, alpha, strict=True)}
-    answers = _pair_answers(table, uni, keep, hot).groupBy("block_id").agg(F.collect_list(F.struct("r", "p")).alias("pairs"))
+    answers = _pair_answers(table, uni, keep, hot).groupBy("block_id").agg(F.collect_list(F.struct("r", "c", "totals", "alphas")).alias("pairs"))
     full = blocks.join(answers, "block_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -382,7 +391,13 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
                 pairs = _Pairs(k, counts, ids, hot_from, n_train_docs, reducers)
                 got = sorted(b.column(b.schema.get_field_index("pairs"))[i].as_py() or [], key=lambda x: x["r"])
                 logp = np.zeros(len(pairs.order))
-                logp[pairs.order] = np.concatenate([np.frombuffer(x["p"], "<f4") for x in got]) if got else logp
+                if got:
+                    c = np.concatenate([unpack(x["c"]) for x in got]).astype(np.int64)
+                    total, alpha = (np.concatenate([np.frombuffer(x[k], np.float64) for x in got])[pairs.run_of()] for k in ("totals", "alphas"))
+                    kept = np.where(c <= MOST_DISCOUNTED, keep[np.minimum(c, MOST_DISCOUNTED)], 1.0)
+                    p = np.where(c > 0, c * kept / total, alpha * uni.p(pairs.word_count))
+                    logp[pairs.order] = np.log10(np.maximum(p, 1e-300))
+                    del c, total, alpha, kept, p
                 # a word after a history that training doesn't have backs off to the word
                 lower = np.log10(np.maximum(uni.p(counts), 1e-300))
                 per_token = lower[pairs.seq]

@@ -127,7 +127,7 @@ def katz(tokens: dict[int, list[str]], train: list[int]) -> dict[int, float]:
         back[h] = total, left / total / max(1 - sum(map(p1, s)), 1e-12)
 
     def p(h, w):
-        if h not in after or not uni[w]:
+        if h not in after:
             return p1(w)
         total, alpha = back[h]
         c = after[h].get(w)
