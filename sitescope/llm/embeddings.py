@@ -6,7 +6,9 @@ through a search of the graph so far.  Every vector then queries every shard
 of its label: a row for each pair of shards holds both graphs and answers the
 queries both ways.  A query's beam widens while all of it is near enough, and
 a shard's beam widens until an audit of some queries against brute force
-reaches ``AUDIT_RECALL``.  Similarities that count are recomputed in double
+reaches ``AUDIT_RECALL``, of their nearest vectors, whether these link or not,
+and of their links; where no beam does, the two shards are compared by brute
+force.  Similarities that count are recomputed in double
 precision.
 
 Identical vectors of a label are one node with a multiplicity, so a group of
@@ -17,8 +19,8 @@ united by distributed contraction.
 Defined cases: null, empty and zero vectors, and those with null or
 non-finite components, link with nothing, as do vectors with a null label;
 vectors of different length don't link; rows with a null or repeated id are
-rows of their own in the counts, and their component is that of the id; an
-empty table gives an empty result; other columns are ignored.
+rows of their own; a component is named by its smallest id, null if it has
+none, and kept is false for a null id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ NEIGHBOURS = 12
 BUILD_BEAM = 40
 BEAM = 24
 AUDITS = 48
-AUDIT_RECALL = 0.99
+NEAREST = 5
+AUDIT_RECALL = 0.95
 
 
 class Graph:
@@ -171,13 +174,16 @@ class Graph:
         if lv > self.high:
             self.entry, self.high = i, lv
 
-    def near(self, q: np.ndarray, threshold: float, beam: int) -> list[int]:
+    def ask(self, q: np.ndarray, threshold: float, beam: int) -> list[tuple[float, int]]:
+        """What a search of the whole graph ends with."""
         at = self.entry
         for level in range(self.high, 0, -1):
             at = self._climb(q, at, level)
+        return self.search(q, beam, 0, at, near=threshold - 1e-4)
+
+    def near(self, q: np.ndarray, threshold: float, beam: int) -> list[int]:
         # rounding in single precision must not cut off what double admits
-        low = threshold - 1e-4
-        return [n for s, n in self.search(q, beam, 0, at, near=low) if s >= low]
+        return [n for s, n in self.ask(q, threshold, beam) if s >= threshold - 1e-4]
 
     def to_bytes(self) -> bytes:
         import io
@@ -211,33 +217,59 @@ class Graph:
         return g
 
 
-def audited_beam(g: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM, audits: int = AUDITS, recall: float = AUDIT_RECALL) -> int:
-    """The beam at which evenly spaced queries find what brute force finds."""
-    if not len(queries) or not len(g.x):
-        return beam
-    picked = queries[np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(np.int64)]
-    truth = [set(np.flatnonzero(g.x @ q >= threshold).tolist()) for q in picked]
-    want = sum(map(len, truth))
+def audited_beam(g: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM, audits: int = AUDITS, recall: float = AUDIT_RECALL,
+                 own: bool = False) -> tuple[int | None, float]:
+    """The beam at which evenly spaced queries find what brute force finds,
+    and the recall measured there, a mean over queries: of the ``NEAREST``
+    nearest vectors, which every query has, and of all that reach
+    ``threshold``.  None if no beam short of the whole graph does.
+    ``own``: queries are the graph's vectors, and don't count themselves."""
+    picked = np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(np.int64)
+    if not len(queries) or len(g.x) <= own:
+        return beam, 1.0
+    truth = []
+    for i in picked.tolist():
+        sims = g.x @ queries[i]
+        if own:
+            sims[i] = -2.0
+        k = min(NEAREST, len(sims) - own)
+        truth.append((set(np.argpartition(-sims, k - 1)[:k].tolist()), set(np.flatnonzero(sims >= threshold).tolist())))
     while beam < len(g.x):
-        got = sum(len(t & set(g.near(q, threshold, beam))) for q, t in zip(picked, truth, strict=True) if t)
-        if got >= recall * want:
-            break
+        shares = []
+        for i, (nearest, linked) in zip(picked.tolist(), truth, strict=True):
+            got = {n for _, n in g.ask(queries[i], threshold, beam)}
+            shares.append(min(len(t & got) / len(t) for t in (nearest, linked) if t))
+        if np.mean(shares) >= recall:
+            return beam, float(np.mean(shares))
         beam *= 2
-    return beam
+    return None, 1.0
+
+
+def _all_near(g: Graph, queries: np.ndarray, threshold: float) -> Iterator[list[int]]:
+    """:meth:`Graph.near` of each query by brute force, in parts."""
+    for i in range(0, len(queries), 256):
+        for sims in queries[i : i + 256] @ g.x.T:
+            yield np.flatnonzero(sims >= threshold - 1e-4).tolist()
+
 
+def pair_links(a: Graph, b: Graph, xa: np.ndarray, xb: np.ndarray, threshold: float, same: bool, audit: list[float] | None = None) -> Iterator[tuple[int, int]]:
+    """Links between two shards (once each, in either's index), asked both
+    ways; ``audit`` gets the recalls that were measured."""
+    audit = [] if audit is None else audit
 
-def pair_links(a: Graph, b: Graph, xa: np.ndarray, xb: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[int, int]]:
-    """Links between two shards (once each, in either's index), asked both ways."""
-    beam = audited_beam(b, a.x, threshold)
-    found: list[set[int]] = [set(b.near(q, threshold, beam)) for q in a.x]
+    def ask(g: Graph, queries: np.ndarray) -> Iterable[list[int]]:
+        beam, recall = audited_beam(g, queries, threshold, own=same)
+        audit.append(recall)
+        return _all_near(g, queries, threshold) if beam is None else (g.near(q, threshold, beam) for q in queries)
+
+    found: list[set[int]] = [set(near) for near in ask(b, a.x)]
     if same:
         for i, near in enumerate(found):
             for j in list(near):
                 found[j].add(i)
     else:
-        beam = audited_beam(a, b.x, threshold)
-        for j, q in enumerate(b.x):
-            for i in a.near(q, threshold, beam):
+        for j, near in enumerate(ask(a, b.x)):
+            for i in near:
                 found[i].add(j)
     for i, near in enumerate(found):
         if near:
@@ -256,6 +288,11 @@ class _Forest(dict):
         return a
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if there are few."""
+    return F.broadcast(rows) if rows.count() <= 100_000 else rows
+
+
 def _normal(values: pa.Array) -> np.ndarray:
     x = np.array(values.to_pylist(), np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -263,22 +300,25 @@ def _normal(values: pa.Array) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
                     threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
-    """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
+    """One row per row of ``vectors``: vec_id, n_links, component_id, kept and
+    audit_recall, the least recall that an audit of the vectors' label measured."""
     v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("x", lambda e: e != 0), F.lit(False))
-    v = v.withColumn("h", F.when(usable, F.xxhash64("x")))
-    # the same vector under the same label is one node; its name is the smallest id
-    node = v.where("h IS NOT NULL AND vec_id IS NOT NULL").groupBy("label", "h").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    member = materialize(v.select("vec_id", "label", "h"), "emb-rows")
+    # + 0.0 makes one zero of both
+    v = v.withColumn("x", F.transform("x", lambda e: e + F.lit(0.0))).select(
+        F.monotonically_increasing_id().alias("uid"), "vec_id", "label", "x",
+        F.when(usable, F.xxhash64("x")).alias("h"), F.when(usable, F.xxhash64(F.lit(1), "x")).alias("h2"),
+    )
+    member = materialize(v, "emb-rows")
+    # the same vector under the same label is one node; its name is a row's number
+    node = member.where("h IS NOT NULL").groupBy("label", "h", "h2").agg(F.min("uid").alias("node"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     node = materialize(node, "emb-nodes")
-    of = node.select(F.col("label").alias("l"), F.col("h").alias("g"), "node", "n")
-    first = v.where("h IS NOT NULL").join(of, (F.col("label") == F.col("l")) & (F.col("h") == F.col("g")) & (F.col("vec_id") == F.col("node")))
-    first = first.dropDuplicates(["label", "node"]).select("label", "node", "n", "x", F.size("x").alias("dim"))
     sizes = node.groupBy("label").agg(F.count("*").alias("in_label")).select(F.col("label").alias("l"), "in_label")
-    first = first.join(sizes, F.col("label") == F.col("l")).withColumn(
-        "shard", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_label") / F.lit(shard)).cast("long"))
+    named = node.join(_few(sizes), F.col("label") == F.col("l")).select(
+        "node", "n", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_label") / F.lit(shard)).cast("long")).alias("shard")
     )
+    first = member.where("h IS NOT NULL").join(named, F.col("uid") == F.col("node")).select("label", "node", "n", "x", F.size("x").alias("dim"), "shard")
 
     def build(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("node").to_numpy())
@@ -314,7 +354,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 xb = xa if same else np.frombuffer(r["b_vectors"].as_py(), np.float64).reshape(len(nb), -1)
                 links: dict[int, int] = {}
                 forest, tree = _Forest(), []
-                for i, j in pair_links(ga, gb, xa, xb, THRESHOLD if threshold is None else threshold, same):
+                audit: list[float] = []
+                for i, j in pair_links(ga, gb, xa, xb, threshold, same, audit):
                     p, q = int(na[i]), int(nb[j])
                     links[p] = links.get(p, 0) + int(cb[j])
                     links[q] = links.get(q, 0) + int(ca[i])
@@ -322,23 +363,29 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                     if rp != rq:
                         forest[rp] = rq
                         tree.append((p, q))
+                n, t = len(links), len(tree)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*links.keys(), *(p for p, _ in tree)], pa.int64()),
-                     pa.array([*(None for _ in links), *(q for _, q in tree)], pa.int64()),
-                     pa.array([*links.values(), *(0 for _ in tree)], pa.int64())],
-                    names=["node", "other", "links"],
+                    [pa.array([*links.keys(), *(p for p, _ in tree), None], pa.int64()),
+                     pa.array([*[None] * n, *(q for _, q in tree), None], pa.int64()),
+                     pa.array([*links.values(), *[0] * t, 0], pa.int64()),
+                     pa.array([*[None] * (n + t), min(audit)], pa.float64()), pa.concat_arrays([b.column("label").slice(k, 1)] * (n + t + 1))],
+                    names=["node", "other", "links", "recall", "label"],
                 )
 
-    found = materialize(jobs.mapInArrow(ask, "node long, other long, links long"), "emb-links")
+    found = materialize(jobs.mapInArrow(ask, f"node long, other long, links long, recall double, label {label_type}"), "emb-links")
     comp = components(found.where("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")), "emb")
-    links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
-    facts = node.join(links, "node", "left").join(comp, "node", "left").select(
-        F.col("label").alias("l"), F.col("h").alias("g"), "node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-        F.coalesce("component", "node").alias("component"),
-    )
-    out = member.join(facts, (F.col("label") == F.col("l")) & (F.col("h") == F.col("g")), "left")
+    links = found.where("node IS NOT NULL AND other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    audits = found.where("node IS NULL").groupBy("label").agg(F.min("recall").alias("audit_recall")).select(F.col("label").alias("r"), "audit_recall")
+    facts = node.join(links, "node", "left").join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    facts = materialize(facts.select(
+        F.col("label").alias("l"), F.col("h").alias("g"), F.col("h2").alias("g2"), "least", "group", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+    ), "emb-facts")
+    # a component is named by its smallest id
+    facts = facts.drop("least").join(facts.groupBy("group").agg(F.min("least").alias("component")), "group")
+    out = member.select("vec_id", "label", "h", "h2").join(facts, (F.col("label") == F.col("l")) & (F.col("h") == F.col("g")) & (F.col("h2") == F.col("g2")), "left")
+    out = out.join(_few(audits), F.col("label") == F.col("r"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), "audit_recall",
     )
