@@ -34,7 +34,7 @@ class _Numbers(dict):
         return n
 
 
-def word_blocks(docs: DataFrame, key: str, text: str, tag, name: str) -> DataFrame:
+def word_blocks(docs: DataFrame, key: str, text: str, tag, name: str, most_words: int = BLOCK_WORDS) -> DataFrame:
     """Materialized blocks of ``docs``.  Words are runs of bytes other than
     space and \\t..\\r after lower-casing A-Z; ``tag`` is a long column that
     is kept for each document."""
@@ -70,7 +70,7 @@ def word_blocks(docs: DataFrame, key: str, text: str, tag, name: str) -> DataFra
                     flat += map(numbers.__getitem__, w)
                 ids.append(np.array(flat, np.int32))
                 held += len(flat)
-                if held >= BLOCK_WORDS or len(doc_ids) >= BLOCK_DOCS // 2:
+                if held >= most_words or len(doc_ids) >= BLOCK_DOCS // 2:
                     yield block()
                     made += 1
                     numbers, ids, n_words, doc_ids, tags, held = _Numbers(), [], [], [], [], 0

@@ -41,6 +41,8 @@ MOST_MATCHES, VERIFY_COST = 8, 16
 TOKENS_PER_REDUCER = 1 << 20
 #: 64-bit words of a set's bitmap: sets differ in as many shingles as bits, at least.
 BITMAP = 16
+#: Words of a block, whose sets of shingles a task holds at once.
+BLOCK_WORDS = 1 << 19
 
 
 def _least_overlap(n: int | np.ndarray, num: int, den: int):
@@ -194,7 +196,7 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """One row per row of ``docs``: uid, doc_id, tag, n_shingles, group (a
     uid) and component_id (the group's smallest doc_id)."""
     spark = docs.sparkSession
-    blocks = word_blocks(docs, key, text, F.lit(0).cast("long") if tag is None else tag, "jac-blocks")
+    blocks = word_blocks(docs, key, text, F.lit(0).cast("long") if tag is None else tag, "jac-blocks", BLOCK_WORDS)
     facts = materialize(_facts(blocks, width), "jac-facts")
     same = facts.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("uid").alias("rep"))
     same = materialize(same, "jac-same")
@@ -273,5 +275,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     no_id = F.lit(-(1 << 63))
     kept = kept.select(F.coalesce("k.doc_id", no_id).alias("d_id"), F.col("k.tag").alias("d_tag")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), F.coalesce(F.col(key).cast("long"), no_id).alias("d_id"), tag.alias("d_tag"))
-    one = Window.partitionBy("d_id", "d_tag").orderBy(F.lit(0))
+    # repeated rows that differ in other columns: one and the same in each run
+    one = Window.partitionBy("d_id", "d_tag").orderBy(F.xxhash64(*[F.col(f"doc.`{c}`") for c, t in docs.dtypes if "map<" not in t]))
     return packed.join(kept, ["d_id", "d_tag"]).withColumn("copy", F.row_number().over(one)).where("copy = 1").select("doc.*")
