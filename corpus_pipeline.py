@@ -22,6 +22,9 @@ from sitescope.llm import common, jaccard, language, lines, mixing, packing
 #: A document stays if its best language covers this share of its n-grams.
 LEAST_COVERAGE = 0.25
 
+#: Names that line dedup adds, and what such columns are called meanwhile.
+OWN = {"n_lines": "n_lines__", "n_removed": "n_removed__"}
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -36,22 +39,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that match an earlier line of the corpus; documents that
-    lose all their lines go."""
-    return lines.dedup(docs).where(F.col("text").isNull() | (F.col("text") != "")).select(*docs.columns)
+    lose all their lines go.  Null and empty texts stay as they are; of rows
+    with an equal id and text all or none keep a line; other columns stay,
+    clashing names too."""
+    out = lines.dedup(docs.withColumnsRenamed(OWN))
+    return out.where(F.col("text").isNull() | (F.col("text") != "") | (F.col("n_removed") == 0)).select(
+        *[F.col(f"`{OWN.get(c, c)}`").alias(c) for c in docs.columns]
+    )
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group linked at five words and 0.8."""
+    """Keep the first document of each group linked at five words and 0.8:
+    the one with the smallest id, null ids last, and one of repeated rows.
+    Null, empty and blank texts link with nothing; an empty table stays empty."""
     return jaccard.keep_first(docs, width=5, num=80, den=100)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take every source up to its target; repeats are repeated rows."""
+    """Take every source up to its target; repeats are repeated rows.  A text
+    without a word is never taken; a null source is one of its own; ties in
+    the queue go by the row's number; other columns stay."""
     return mixing.mixed_documents(docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of at most 2048 tokens."""
+    """Pack all documents into sequences of at most 2048 tokens.  A null or
+    empty text is the end id alone; repeated rows are packed each; other
+    columns go, as rows are pieces now."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
