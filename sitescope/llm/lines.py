@@ -48,8 +48,6 @@ FEW_LINES = 64
 #: Keys are taken in so many parts, one after another, as their exchange takes
 #: more disk than anything else.
 PASSES = 3
-#: Longer lines have a second bitmap.
-LONG_LINE = 96
 #: Most rows of one number that are broadcast; more are joined by exchange.
 BROADCAST_ROWS = 500_000
 #: Null ids come before all others.
@@ -141,7 +139,7 @@ def _prefixes(words: DataFrame, rarity: DataFrame, classes: DataFrame, num: int,
     free = F.col("n") - _need("n", num, den)
     rows = rows.select(
         "uid", "n", free.alias("free"), F.slice("toks", F.lit(1), free + 2).alias("pre"),
-        _bits(0).alias("w0"), F.when(F.col("n") > LONG_LINE, _bits(1)).alias("w1"),
+        _bits(0).alias("w0"), _bits(1).alias("w1"),
     )
     return rows.join(classes.select("uid", "rank"), "uid").select("rank", "n", "free", "pre", "w0", "w1")
 
@@ -179,7 +177,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         n = na + nb
         # words from the shared one on, and those before it, bound the overlap
         position = F.least(na - pa, nb - pb) + F.least(pa, pb)
-        differ = sum(F.coalesce(F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))), F.lit(0)) for w in ("w0", "w1"))
+        differ = sum(F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in ("w0", "w1"))
         return (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
 
     cols = ("rank", "n", "pos", "w0", "w1")

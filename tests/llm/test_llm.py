@@ -162,7 +162,6 @@ def test_line_dedup_small_vocabulary(spark, monkeypatch, hot, few):
     """Many similar lines over few words; with few words frequent, and with nearly all."""
     monkeypatch.setattr(lines, "HOT_COUNT", hot)
     monkeypatch.setattr(lines, "FEW_LINES", few)
-    monkeypatch.setattr(lines, "LONG_LINE", 20)
     rng = random.Random(11)
     base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 40))] for _ in range(30)]
     rows = []
