@@ -268,7 +268,7 @@ _B = f"{SITES_SQL}, {ZONES_SQL}, p AS (SELECT building_id, w, h, zone_id, value,
 #: Area of a footprint under a union of boxes: unit cells, as all corners are integers.
 _UNIT = "u AS (SELECT s.building_id, s.w, s.h, i.i AS ux, j.j AS uy FROM sites s, (SELECT unnest(range(16)) AS i) i, (SELECT unnest(range(16)) AS j) j WHERE i.i < s.w AND j.j < s.h), c AS (SELECT DISTINCT u.building_id, u.w, u.h, ux, uy{cat} FROM u JOIN p USING (building_id) WHERE p.x + ux >= zx AND p.x + ux < zx + side AND p.y + uy >= zy AND p.y + uy < zy + side)"
 _STATE = "CASE WHEN cov <= 0 THEN 'unknown' WHEN abs(cov - 1) <= 1e-9 THEN 'known' ELSE 'partial' END"
-_E = "e0 AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, p_partkey % 7 + 1 AS w FROM part WHERE p_partkey < 400 UNION ALL SELECT p_partkey, p_partkey + 20, p_partkey % 5 + 3 FROM part WHERE p_partkey < 400), e AS (SELECT src, dst, min(w) AS w FROM (SELECT * FROM e0 UNION ALL SELECT dst, src, w FROM e0) GROUP BY 1, 2)"
+_E = "e0 AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, p_partkey % 7 + 1 AS w FROM part UNION ALL SELECT p_partkey, p_partkey + 20, p_partkey % 5 + 3 FROM part), e AS (SELECT src, dst, min(w) AS w FROM (SELECT * FROM e0 UNION ALL SELECT dst, src, w FROM e0) GROUP BY 1, 2)"
 _EV = "ev AS (SELECT user_id AS building_id, CAST(CAST(props->>'k' AS INTEGER) % 11 AS BIGINT) AS destination, CASE WHEN event_type <> 'error' THEN value END AS minutes, CAST(props->>'k' AS INTEGER) % 4 AS boardings, ts, event_id, event_type, value FROM events)"
 _TX, _TY = "CAST(floor(({lon} + 180.0) / 360.0 * 65536.0) AS BIGINT)", "CAST(floor((1.0 - ln(tan(radians({lat})) + 1.0 / cos(radians({lat}))) / pi()) / 2.0 * 65536.0) AS BIGINT)"
 _TILES = f"""t AS (SELECT building_id, unnest(range({_TX.format(lon='lon')}, {_TX.format(lon='(lon + 0.0004)')} + 1)) AS tx, {_TY.format(lat='(lat + 0.0002)')} AS y0, {_TY.format(lat='lat')} AS y1 FROM sites), tt AS (SELECT building_id, tx, unnest(range(y0, y1 + 1)) AS ty FROM t)"""
@@ -294,7 +294,7 @@ SQL = {
     "smallest_polygon": f"WITH {SITES_SQL}, {ZONES_SQL}, r AS (SELECT building_id, zone_id, row_number() OVER (PARTITION BY building_id ORDER BY side, zone_id) AS rn FROM sites JOIN zones ON x BETWEEN zx AND zx + side AND y BETWEEN zy AND zy + side) SELECT building_id, zone_id FROM r WHERE rn = 1",
     "shortest_path": f"WITH RECURSIVE {_E}, walk(node, d) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT UNION (SELECT e.dst, min(w.d + e.w) FROM walk w JOIN e ON e.src = w.node LEFT JOIN recurring.walk r ON r.node = e.dst WHERE r.d IS NULL OR w.d + e.w < r.d GROUP BY e.dst)) SELECT node, d FROM walk",
     "node_degree": f"WITH {_E} SELECT src AS node, count(*) AS degree FROM e GROUP BY 1",
-    "cycling_cost": "WITH e AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, p_partkey % 7 + 1 AS w FROM part WHERE p_partkey < 400 UNION ALL SELECT p_partkey, p_partkey + 20, p_partkey % 5 + 3 FROM part WHERE p_partkey < 400), d AS (SELECT *, CASE WHEN src % 9 = 0 THEN 30.0 ELSE 0.0 END + CASE WHEN src % 4 = 0 THEN 2.0 ELSE 0.0 END AS a, CASE WHEN dst % 9 = 0 THEN 30.0 ELSE 0.0 END + CASE WHEN dst % 4 = 0 THEN 2.0 ELSE 0.0 END AS b FROM e) SELECT src, dst, round(w * 100.0 / CASE WHEN src % 3 = 0 THEN 15 / 3.6 * 0.65 ELSE 15 / 3.6 END + (a + b) / 2, 6) AS seconds FROM d",
+    "cycling_cost": "WITH e AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, p_partkey % 7 + 1 AS w FROM part UNION ALL SELECT p_partkey, p_partkey + 20, p_partkey % 5 + 3 FROM part), d AS (SELECT *, CASE WHEN src % 9 = 0 THEN 30.0 ELSE 0.0 END + CASE WHEN src % 4 = 0 THEN 2.0 ELSE 0.0 END AS a, CASE WHEN dst % 9 = 0 THEN 30.0 ELSE 0.0 END + CASE WHEN dst % 4 = 0 THEN 2.0 ELSE 0.0 END AS b FROM e) SELECT src, dst, round(w * 100.0 / CASE WHEN src % 3 = 0 THEN 15 / 3.6 * 0.65 ELSE 15 / 3.6 END + (a + b) / 2, 6) AS seconds FROM d",
     "ease_score": """WITH x AS (SELECT p_partkey, p_partkey % 50 * 173.0 + 10 AS r, p_partkey % 37 * 160.0 AS s, p_size % 7 AS st, p_size % 11 AS tu, p_partkey % 13 * 90.0 AS sl FROM part), k AS (SELECT *, greatest(r / 1000, 1.0) AS km, CASE WHEN s <= 0 THEN 1.0 ELSE r / s END AS det FROM x)
 SELECT p_partkey, round(100 * (0.35 * greatest(0.0, least(1.0, (1.65 - st / km) / (1.65 - 0.75))) + 0.25 * greatest(0.0, least(1.0, (5.0 - tu / km) / 4.0)) + 0.20 * greatest(0.0, least(1.0, (1.6 - det) / (1.6 - 1.2))) + 0.20 * (1 - least(sl / r, 1.0))), 1) AS ease FROM k""",
     "effective_minutes": "SELECT p_partkey, round((p_retailprice + 0.01 + p_size % 9 * 10.0) / 60, 1) AS minutes FROM part",
