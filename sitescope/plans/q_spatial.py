@@ -206,7 +206,7 @@ def trip_connections(spark, sf):
 
 def way_edges(spark, sf):
     c = load(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("refs"))
-    z = F.arrays_zip(F.slice("refs", F.lit(1), F.size("refs") - 1).alias("a"), F.slice("refs", 2, 100000).alias("b"))
+    z = F.arrays_zip(F.slice("refs", F.lit(1), F.size("refs") - 1).alias("a"), F.slice("refs", F.lit(2), F.size("refs") - 1).alias("b"))
     return c.where(F.size("refs") > 1).select("conv_id", F.inline(z)).select("conv_id", F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
