@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from sitescope.llm.common import components, materialize
 
-SHARD = 8192
+#: Vectors of a graph: each vector asks every graph of its label, so larger ones spare work; two must fit a task.
+SHARD = 16384
 THRESHOLD = 0.93
 NEIGHBOURS = 12
 BUILD_BEAM = 40
