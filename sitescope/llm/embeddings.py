@@ -6,9 +6,9 @@ through a search of the graph so far.  Every vector then queries every shard
 of its label: a row for each pair of shards holds both graphs and answers the
 queries both ways.  A query's beam widens while all of it is near enough, and
 a shard's beam widens until an audit of some queries against brute force
-reaches ``AUDIT_RECALL``, of their nearest vectors, whether these link or not,
-and of their links; where no beam does, the two shards are compared by brute
-force.  Similarities that count are recomputed in double
+reaches ``AUDIT_RECALL`` of their links - and, where links are rare, of the
+nearest vectors of queries without one; where no beam does, the two shards
+are compared by brute force.  Similarities that count are recomputed in double
 precision.
 
 Identical vectors of a label are one node with a multiplicity, so a group of
@@ -42,6 +42,8 @@ NEIGHBOURS = 12
 BUILD_BEAM = 40
 BEAM = 24
 AUDITS = 48
+#: Rows of a shard that are drawn at most to find queries with a link, and linked ones that are enough by themselves.
+DRAW, FEW_LINKED = 4096, 16
 NEAREST = 5
 AUDIT_RECALL = 0.95
 
@@ -218,28 +220,42 @@ class Graph:
         return g
 
 
+def _drawn(g: Graph, queries: np.ndarray, threshold: float, audits: int, own: bool) -> list[tuple[int, set[int]]]:
+    """Queries to audit, each with what it should find.  Rows are drawn until
+    ``audits`` of them have a link, ``DRAW`` at most; where fewer than
+    ``FEW_LINKED`` have one, the ``NEAREST`` nearest vectors of some others,
+    which every query has, are asked for too."""
+    order = np.random.default_rng(20_021).permutation(len(queries))[:DRAW]
+    linked: list[tuple[int, set[int]]] = []
+    others: list[tuple[int, set[int]]] = []
+    for at in range(0, len(order), 256):
+        part = order[at : at + 256]
+        sims = queries[part] @ g.x.T
+        if own:
+            sims[np.arange(len(part)), part] = -2.0
+        for row, i in zip(sims, part.tolist(), strict=True):
+            if len(linked) == audits:
+                return linked
+            near = np.flatnonzero(row >= threshold)
+            if len(near):
+                linked.append((i, set(near.tolist())))
+            elif len(others) < audits:
+                k = min(NEAREST, len(row) - own)
+                others.append((i, set(np.argpartition(-row, k - 1)[:k].tolist())))
+    return linked if len(linked) >= FEW_LINKED else linked + others
+
+
 def audited_beam(g: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM, audits: int = AUDITS, recall: float = AUDIT_RECALL,
                  own: bool = False) -> tuple[int | None, float]:
-    """The beam at which evenly spaced queries find what brute force finds,
-    and the recall measured there, a mean over queries: of the ``NEAREST``
-    nearest vectors, which every query has, and of all that reach
-    ``threshold``.  None if no beam short of the whole graph does.
-    ``own``: queries are the graph's vectors, and don't count themselves."""
-    picked = np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(np.int64)
+    """The beam at which drawn queries find what brute force finds, and the
+    recall measured there, a mean over queries.  None if no beam short of the
+    whole graph does.  ``own``: queries are the graph's vectors, and don't
+    count themselves."""
     if not len(queries) or len(g.x) <= own:
         return beam, 1.0
-    truth = []
-    for i in picked.tolist():
-        sims = g.x @ queries[i]
-        if own:
-            sims[i] = -2.0
-        k = min(NEAREST, len(sims) - own)
-        truth.append((set(np.argpartition(-sims, k - 1)[:k].tolist()), set(np.flatnonzero(sims >= threshold).tolist())))
+    truth = _drawn(g, queries, threshold, audits, own)
     while beam < len(g.x):
-        shares = []
-        for i, (nearest, linked) in zip(picked.tolist(), truth, strict=True):
-            got = {n for _, n in g.ask(queries[i], threshold, beam)}
-            shares.append(min(len(t & got) / len(t) for t in (nearest, linked) if t))
+        shares = [len(want & {n for _, n in g.ask(queries[i], threshold, beam)}) / len(want) for i, want in truth]
         if np.mean(shares) >= recall:
             return beam, float(np.mean(shares))
         beam *= 2

@@ -48,3 +48,17 @@ def test_brute_force_where_no_beam_passes(monkeypatch):
     g = embeddings.Graph(x)
     got = set(embeddings.pair_links(g, g, x, x, 0.93, True))
     assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if x[i] @ x[j] >= 0.93}
+
+
+def test_audit_draws_linked_queries():
+    """Few rows of a shard have a link: those are found and audited, and all links come out."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    x[1000:1060] = x[:60] + rng.normal(size=(60, 24)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = embeddings.Graph(x)
+    drawn = embeddings._drawn(g, g.x, 0.93, embeddings.AUDITS, True)
+    assert len(drawn) == embeddings.AUDITS and all(len(want) == 1 for _, want in drawn)
+    got = set(embeddings.pair_links(g, g, x, x, 0.93, True))
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(x @ x.T >= 0.93, 1))}
+    assert len(want) == 60 and got <= want and len(got) >= 57
