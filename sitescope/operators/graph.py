@@ -114,6 +114,15 @@ def components(edges: DataFrame) -> DataFrame:
         label = new
 
 
+def main_component(edges: DataFrame) -> DataFrame:
+    """(node) of the component with most nodes; of equal ones, the one whose
+    smallest node is least."""
+    labelled = components(edges)
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("n"))
+    best = sizes.agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("component"))
+    return labelled.join(F.broadcast(best), "component", "left_semi").select("node")
+
+
 def cycling_cost(length: Column, speed: float, slow: Column, delay_a: Column, delay_b: Column) -> Column:
     """Seconds of an edge: its length, and half of each end's delay."""
     return length / F.when(slow, speed * SLOW_SHARE).otherwise(speed) + (delay_a + delay_b) / 2

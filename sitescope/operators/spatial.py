@@ -97,9 +97,11 @@ def nearest(left: DataFrame, right: DataFrame, key: str, lx: str, ly: str, rkey:
     """The nearest right point of each left one: (key, rkey, distance).
 
     Rounds with a growing radius; a point leaves when it has found one, so
-    the last rounds are few points against coarse cells.
+    the last rounds are few points against coarse cells.  A point without
+    coordinates has no nearest one: nulls.
     """
-    open_, found = left.select(key, lx, ly), None
+    placed = F.col(lx).isNotNull() & F.col(ly).isNotNull()
+    open_, found = left.select(key, lx, ly).where(placed), None
     r = right.select(rkey, rx, ry)
     n_open = open_.count()
     for step in range(24):
@@ -111,7 +113,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, lx: str, ly: str, rkey:
         if n_open <= 0 or right.isEmpty():
             break
         open_ = cut(open_.join(best, key, "left_anti"))
-    return found
+    nowhere = left.where(~placed).select(key, F.lit(None).cast(right.schema[rkey].dataType).alias(rkey), F.lit(None).cast("double").alias("distance"))
+    return found.unionByName(nowhere)
 
 
 # ---------------------------------------------------------------- polygons

@@ -55,6 +55,40 @@ def histogram(df: DataFrame, value: str, by: list[str], bins: int = BINS) -> Dat
     return v.groupBy(*by, "lo", "hi", "known", F.least(F.greatest(cell, F.lit(0)), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def distributions(df: DataFrame, value: str, catalogue: DataFrame, by: str = "layer_id", bins: int = BINS) -> DataFrame:
+    """The histogram of each layer in ``catalogue`` (by, breaks) with at least
+    two breaks as one row (by, counts, known_count, lo, hi): empty bins are
+    0, and a layer without values has all bins over the span of its breaks."""
+    h = histogram(df, value, [by], bins).groupBy(by).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("known").alias("known"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("at"))
+    out = catalogue.where(F.size("breaks") >= 2).join(h, by, "left")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0).cast("long")))
+    return out.select(
+        by, counts.alias("counts"), F.coalesce("known", F.lit(0).cast("long")).alias("known_count"),
+        F.coalesce("lo", F.col("breaks")[0]).alias("lo"), F.coalesce("hi", F.get("breaks", F.size("breaks") - 1)).alias("hi"),
+    )
+
+
+def layer_breaks(df: DataFrame, value: str, by: list[str], low: float, high: float, family: str = "default", discrete: bool = False) -> DataFrame:
+    """Colour breaks of each group: its distinct percentiles, or all of its
+    values if ``discrete``; steps of the span low to high where the group has
+    less than two different values or break."""
+    p = PERCENTILES[family]
+    linear = F.array(*[F.lit(low + (high - low) * x) for x in p])
+    v = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(x) for x in p])).alias("p"), F.sort_array(F.collect_set(value)).alias("every"))
+    own = F.col("every") if discrete else F.array_distinct("p")
+    return v.select(*by, F.when((F.size("every") > 1) & (F.size(own) > 1), own).otherwise(linear).alias("breaks"))
+
+
+def one_category(cats: Column) -> Column:
+    """A building's category: its only one, or mixed."""
+    return F.when(F.size(F.array_distinct(cats)) == 1, cats[0]).when(F.size(cats) > 1, "mixed")
+
+
+def composite_complete(buildings: DataFrame, composite: DataFrame, key: str = "building_id") -> DataFrame:
+    """The composite of all buildings: unknown where none of the groups has a row."""
+    return buildings.select(key).join(composite, key, "left").withColumns({"state": F.coalesce("state", F.lit("unknown")), "coverage": F.coalesce("coverage", F.lit(0.0))})
+
+
 def fixed_histogram(df: DataFrame, value: Column, lo: float, hi: float, bins: int = BINS) -> DataFrame:
     cell = F.floor((value - lo) / ((hi - lo) / bins)).cast("int")
     inside = df.where(value.between(lo, hi))

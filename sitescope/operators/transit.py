@@ -15,6 +15,17 @@ def seconds(hms: Column) -> Column:
     return p[0].cast("int") * 3600 + p[1].cast("int") * 60 + p[2].cast("int")
 
 
+def epoch_ms(day: Column, minute: Column, zone: str = "Europe/Helsinki") -> Column:
+    """Milliseconds since 1970 of a local wall time, whatever the session's zone."""
+    at = F.make_timestamp(F.year(day), F.month(day), F.day(day), F.floor(minute / 60).cast("int"), (minute % 60).cast("int"), F.lit(0), F.lit(zone))
+    return F.unix_millis(at)
+
+
+def sample_labels(first: int = 7 * 60, last: int = 8 * 60) -> Column:
+    """HH:MM of each minute, both ends included."""
+    return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda m: F.format_string("%02d:%02d", F.floor(m / 60), m % 60))
+
+
 def active_services(calendar: DataFrame, exceptions: DataFrame, day: str) -> DataFrame:
     """Services that run on a day (YYYYMMDD): by weekday and range, with
     exceptions 1 added and 2 taken away."""

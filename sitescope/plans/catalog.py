@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitescope.plans import q_records, q_scoring, q_spatial, q_values
+from sitescope.plans import q_checks, q_records, q_scoring, q_spatial, q_values
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = (q_scoring, q_values, q_spatial, q_records)
+_FAMILIES = (q_scoring, q_values, q_spatial, q_records, q_checks)
 _DECIMAL = re.compile(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])")
 
 

@@ -181,20 +181,6 @@ def integrity_orphans(spark, sf):
     return a.unionByName(b).unionByName(d)
 
 
-def audit_reconcile(spark, sf):
-    """Rows of a recount that a stored audit doesn't have, both ways: none."""
-    m = sites(spark, sf).select("building_id", "municipality")
-    rows = layer_values(spark, sf).join(m, "building_id").select("municipality", "layer_id", "state")
-    stored, again = stats.audit(rows), stats.audit(rows.repartition("layer_id"))
-    return stored.exceptAll(again).unionByName(again.exceptAll(stored)).agg(F.count("*").alias("n_different"))
-
-
-def distribution_checks(spark, sf):
-    o = load(spark, sf, "orders").select("o_orderpriority", F.col("o_totalprice").alias("v"))
-    h = stats.histogram(o, "v", ["o_orderpriority"]).groupBy("o_orderpriority").agg(F.sum("n").alias("total"), F.max("known").alias("known"), F.min("n").alias("least"))
-    return h.select("o_orderpriority", (F.col("total") <= F.col("known")).alias("fits"), (F.col("least") >= 0).alias("counts_ok"))
-
-
 def json_round_trip(spark, sf):
     e = load(spark, sf, "events")
     p = F.from_json("props", "k int")
@@ -212,7 +198,7 @@ comp AS (SELECT building_id, CASE WHEN bool_or(state = 'partial') THEN 'partial'
 QUERIES = {f.__name__: f for f in (
     normalize_entities, scored_filter, municipality_filter, sentinel_income, code_map_lookup, unknown_completion, evidence_attach, evidence_resolution, conflict_free_lookup, fact_merge,
     owner_precedence, semi_anti_membership, published_source_pruning, union_layers, exact_median, quantile_breaks, boarding_breaks, linear_histogram, overview_numeric, overview_categorical,
-    state_counts, audit_grouping_sets, composite_min, composite_cell, score_inputs_nested, integrity_orphans, audit_reconcile, distribution_checks, json_round_trip)}
+    state_counts, audit_grouping_sets, composite_min, composite_cell, score_inputs_nested, integrity_orphans, json_round_trip)}
 QUERIES |= {"dedupe_first": _dedupe(lambda c: c.asc()), "dedupe_last": _dedupe(lambda c: c.desc())}
 
 
@@ -256,7 +242,5 @@ SELECT cx, cy, CASE WHEN count(*) = 1 THEN max(c) ELSE 'mixed' END AS mode, roun
     "score_inputs_nested": f"WITH {LAYERS_SQL}, e AS (SELECT building_id, layer_id || '=' || state || '=' || len(nums) || '=' || len(cats) AS e FROM layer_values) SELECT building_id, array_to_string(list_sort(list(e)), ';') AS inputs FROM e GROUP BY 1",
     "integrity_orphans": """SELECT 'order_customer' AS reference, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'item_order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'item_part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)""",
-    "audit_reconcile": "SELECT CAST(0 AS BIGINT) AS n_different",
-    "distribution_checks": f"WITH {_HIST} SELECT o_orderpriority, sum(n) <= max(known) AS fits, min(n) >= 0 AS counts_ok FROM h GROUP BY 1",
     "json_round_trip": "SELECT event_id, event_type, CAST(props->>'k' AS INTEGER) AS k FROM events",
 }

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitescope.functions import text as T
-from sitescope.operators import graph, scoring, spatial, stats, transit, values
+from sitescope.operators import geometry, graph, scoring, spatial, stats, transit, values
 
 
 def square(x0, y0, x1, y1):
@@ -53,8 +53,8 @@ def test_breaks_and_histogram(spark):
     rows = stats.histogram(flat, "v", ["k"], 10).collect()
     assert sum(r["n"] for r in rows) == 101 and {(r["lo"], r["hi"]) for r in rows} == {(0.0, 100.0)}
     odd = [1.0, 999_999_999.0] + [1900.0 + i % 120 for i in range(600)]
-    rows = stats.histogram(spark.createDataFrame([(x, 1) for x in odd], "v double, k int"), "v", ["k"]).collect()
-    assert 585 <= sum(r["n"] for r in rows) <= 602 and rows[0]["known"] == 602 and 1900 <= rows[0]["lo"] <= 1902
+    rows = stats.histogram(spark.createDataFrame([(x, 1) for x in odd], "v double, k int"), "v", ["k"], 10).collect()
+    assert 585 <= sum(r["n"] for r in rows) <= 595 and 2018 <= rows[0]["hi"] <= 2020 and rows[0]["known"] == 602 and 1900 <= rows[0]["lo"] <= 1902
 
 
 @pytest.mark.parametrize(("ramp", "value", "score"), [
@@ -144,3 +144,16 @@ def test_projection(spark):
     e, n = spatial.transverse_mercator(F.lit(27.0), F.lit(60.0), 27.0)
     x, y = spark.range(1).select(e, n).first()
     assert x == pytest.approx(500_000) and y == pytest.approx(6_654_072.8, abs=2)
+
+
+def test_nearest_without_coordinates(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 3.0)], "k long, x double, y double")
+    right = spark.createDataFrame([(7, 3.0, 4.0)], "r long, rx double, ry double")
+    got = sorted(tuple(r) for r in spatial.nearest(left, right, "k", "x", "y", "r", "rx", "ry", 2.0).collect())
+    assert got == [(1, 7, 5.0), (2, None, None)]
+
+
+def test_geojson_ring(spark):
+    row = spark.createDataFrame([('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[1,2],[3,4]]]}}',), ('{"type":"Point"}',), (None,)], "t string")
+    got = [r[0] for r in row.select(geometry.feature_ring(F.col("t"))).collect()]
+    assert got == [[[1.0, 2.0], [3.0, 4.0]], None, None]
