@@ -63,3 +63,25 @@ def layer_parts(layer_id: Column) -> tuple[Column, Column, Column]:
     stat = F.regexp_extract(layer_id, "^transit_workplace_(.+)_(min|median|max)_min$", 2)
     family = F.when(bike != "", "bike").when(place != "", "transit").otherwise("static")
     return family, F.coalesce(F.nullif(bike, F.lit("")), F.nullif(place, F.lit(""))), F.nullif(stat, F.lit(""))
+
+
+# Words of a decision that leases land of the city.
+LEASE_WORDS = (r"\bvuokra\w*", r"\b(?:maa-alue|maanvuokra|tontt\w*|kiinteist\w*|korttel\w*)", r"\bHelsingin kaupung\w*")
+
+
+def lease_candidate(subject: Column, body: Column) -> Column:
+    """A decision that speaks of a lease, of land and of the city."""
+    t = F.concat_ws("\n", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit("")))
+    return t.rlike("(?iU)" + LEASE_WORDS[0]) & t.rlike("(?iU)" + LEASE_WORDS[1]) & t.rlike("(?iU)" + LEASE_WORDS[2])
+
+
+def building_ids(text: Column) -> Column:
+    """Permanent building numbers, distinct, in order of text."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"(?<![0-9A-Z])([0-9]{9}[0-9A-Z])(?![0-9A-Z])"), F.lit(1)))
+
+
+def workplace_layer_ids(destination: Column, sampled: Column) -> Column:
+    """Layers of a workplace: by bike, and by transit where it was sampled."""
+    transit = [F.concat(F.lit("transit_workplace_"), destination, F.lit(end)) for end in ("_min_min", "_median_min", "_max_min", "_median_boarding")]
+    bike = F.array(F.concat(F.lit("bike_workplace_"), destination, F.lit("_effective_min")))
+    return F.when(sampled, F.concat(bike, F.array(*transit))).otherwise(bike)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitescope.functions import text, ways
 from sitescope.operators import checks, geometry, graph, spatial, stats, transit
 from sitescope.plans.q_values import _HIST
 from sitescope.sources.tables import LAYERS_SQL, SITES_SQL, layer_values, load, sites
@@ -226,10 +227,56 @@ def sample_labels(spark, sf):
     return load(spark, sf, "supplier").select("s_suppkey", F.posexplode(transit.sample_labels()).alias("i", "label"))
 
 
+# ---------------------------------------------------------------- classes
+_TAGS = {
+    "highway": (17, (*ways.WALKED, "motorway", "crossing", "traffic_signals", None, "steps")), "bicycle": (5, ("yes", "no", "designated", None, None)), "foot": (3, ("no", None, "yes")),
+    "surface": (7, ("asphalt", "gravel", None, "sett", "paved", None, None)), "segregated": (4, ("no", "yes", None, None)), "crossing": (2, ("traffic_signals", None)), "crossing:signals": (11, ("yes", *[None] * 10)),
+    "railway": (13, ("rail", "tram", *[None] * 11)), "waterway": (19, ("canal", "ditch", *[None] * 17)), "natural": (8, ("coastline", "water", "wood", *[None] * 5)), "leisure": (6, ("park", *[None] * 5)),
+    "amenity": (9, ("kindergarten", "school", "clinic", "library", "cafe", "childcare", "hospital", None, None)), "healthcare": (10, ("doctor", "clinic", *[None] * 8)),
+    "brand": (14, ("Terveystalo", *[None] * 13)), "name": (12, ("Mehiläinen Töölö", "PIHLAJALINNA", *[None] * 10)),
+}
+
+
+def _tagged(spark, sf):
+    k = F.col("o_orderkey")
+    value = lambda n, values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (k % n).cast("int"))
+    tags = F.map_from_arrays(F.array(*[F.lit(t) for t in _TAGS]), F.array(*[value(*v) for v in _TAGS.values()]))
+    return load(spark, sf, "orders").select("o_orderkey", F.map_filter(tags, lambda _, v: v.isNotNull()).alias("tags"))
+
+
+def way_classes(spark, sf):
+    t = F.col("tags")
+    return _tagged(spark, sf).select(
+        "o_orderkey", ways.walkable(t).alias("walk"), ways.cyclable(t).alias("ride"), ways.shared(t).alias("shared"), ways.slow(t).alias("slow"), ways.signal(t).alias("signal"),
+        ways.line_class(t).alias("line"), ways.area_class(t).alias("area"),
+    )
+
+
+def amenity_classes(spark, sf):
+    return _tagged(spark, sf).select("o_orderkey", ways.amenity_class(F.col("tags")).alias("class"), ways.provider(F.col("tags")).alias("provider"))
+
+
+def _decisions(spark, sf):
+    k = F.col("o_orderkey")
+    pick = lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), (k % n).cast("int"))
+    subject = pick(4, "VUOKRAUS", "Alivuokra", "Myynti", "asunnon vuokran tarkistus")
+    body = F.concat(pick(3, "TONTTIA ", "maa-alueen ", "laitteen "), pick(5, "Helsingin kaupungin ", "helsingin kaupunki ", "Espoon kaupungin ", "Uushelsingin kaupungin ", "Helsingin kaupungin "), F.lit("rakennus 10"), F.lpad((k % 1000).cast("string"), 7, "0"), pick(2, "a", "Ab"), F.lit("."))
+    return load(spark, sf, "orders").select("o_orderkey", subject.alias("subject"), body.alias("body"))
+
+
+def lease_candidates(spark, sf):
+    return _decisions(spark, sf).select("o_orderkey", text.lease_candidate(F.col("subject"), F.col("body")).alias("lease"), F.array_join(text.building_ids(F.col("body")), ",").alias("ids"))
+
+
+def workplace_layers(spark, sf):
+    k = F.col("s_suppkey")
+    return load(spark, sf, "supplier").select("s_suppkey", F.explode(text.workplace_layer_ids(k.cast("string"), k % 3 == 0)).alias("layer_id"))
+
+
 QUERIES = {f.__name__: f for f in (
     release_references, attribute_integrity, distribution_faults, audit_reconcile, audit_buildings, layer_registry, public_fields, active_layer_ids, geometry_bounds, bearings,
     edge_attributes, geojson_features, point_inspection, cell_layers, layer_distributions, fallback_breaks, discrete_breaks, overview_mixed, composite_all, main_component,
-    running_services, running_connections, wall_times, sample_labels,
+    running_services, running_connections, wall_times, sample_labels, way_classes, amenity_classes, lease_candidates, workplace_layers,
 )}
 
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'known' WHEN 'P' THEN 'partial' ELSE 'unknown' END"
@@ -240,7 +287,30 @@ _ACTIVE = """d AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS service_
 act AS (SELECT service_id FROM d WHERE (k % 4 <> 0 AND k % 4 <> 1 OR k % 3 = 0 AND k % 2 = 0 AND k % 4 < 2) AND NOT (k % 3 = 0 AND k % 2 = 0 AND k % 4 >= 2))"""
 _LAST_SUNDAY = "(make_date(year(d), {0}, {1}) - CAST(dayofweek(make_date(year(d), {0}, {1})) AS INTEGER))"
 
+
+
+def _sql_tag(name: str) -> str:
+    n, values = _TAGS[name]
+    return f"([{', '.join('NULL' if v is None else repr(v) for v in values)}])[o_orderkey % {n} + 1]"
+
+
+_TAGGED = "x AS (SELECT o_orderkey, " + ", ".join(f'{_sql_tag(t)} AS {t.replace("crossing:signals", "sig").replace("natural", "nat")}' for t in _TAGS) + " FROM orders)"
+_SHARED = "coalesce(highway IN ('footway', 'pedestrian') AND bicycle IN ('yes', 'designated'), false)"
+_CARE = "coalesce(amenity IN ('clinic', 'doctors', 'hospital'), false) OR coalesce(healthcare IN ('clinic', 'doctor', 'hospital'), false)"
+_CLASS = f"CASE WHEN amenity IN ('kindergarten', 'childcare') THEN 'daycare' WHEN amenity = 'school' THEN 'school' WHEN {_CARE} THEN 'healthcare' WHEN amenity = 'library' THEN 'library' END"
+
 SQL = {
+    "way_classes": f"""WITH {_TAGGED} SELECT o_orderkey, coalesce(highway NOT IN ('motorway', 'crossing', 'traffic_signals', 'steps'), false) AND coalesce(foot, '') <> 'no' AS walk,
+  coalesce(highway NOT IN ('motorway', 'crossing', 'traffic_signals', 'steps', 'footway', 'pedestrian'), false) AND coalesce(bicycle, '') <> 'no' OR {_SHARED} AS ride, {_SHARED} AS shared,
+  {_SHARED} OR coalesce(surface IN ('gravel', 'sett'), false) OR coalesce(segregated = 'no', false) OR coalesce(highway = 'path', false) AND segregated IS NULL AND coalesce(foot, '') <> 'no' AS slow,
+  coalesce(highway = 'traffic_signals', false) OR coalesce(highway = 'crossing', false) AND (crossing IS NOT NULL OR sig IS NOT NULL) AS signal,
+  CASE WHEN highway IN ('motorway', 'primary', 'secondary', 'tertiary') THEN 'road-major' WHEN railway = 'rail' THEN 'rail' WHEN waterway = 'canal' THEN 'waterway' WHEN "natural" = 'coastline' THEN 'coastline' END AS line,
+  CASE WHEN "natural" = 'water' THEN 'water' WHEN leisure = 'park' OR "natural" = 'wood' THEN 'green' END AS area FROM x""".replace('"natural"', "nat"),
+    "amenity_classes": f"WITH {_TAGGED} SELECT o_orderkey, {_CLASS} AS class, CASE WHEN {_CLASS} <> 'healthcare' THEN NULL WHEN {_CLASS} IS NULL THEN NULL WHEN name LIKE 'Mehi%' THEN 'mehilainen' WHEN brand IS NOT NULL THEN 'terveystalo' WHEN name IS NOT NULL THEN 'pihlajalinna' END AS provider FROM x",
+    "lease_candidates": """SELECT o_orderkey, o_orderkey % 4 IN (0, 3) AND o_orderkey % 3 <> 2 AND o_orderkey % 5 IN (0, 1, 4) AS lease,
+  CASE WHEN o_orderkey % 2 = 0 THEN '10' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 7, '0') || 'A' ELSE '' END AS ids FROM orders""",
+    "workplace_layers": """SELECT s_suppkey, 'bike_workplace_' || s_suppkey || '_effective_min' AS layer_id FROM supplier
+UNION ALL SELECT s_suppkey, 'transit_workplace_' || s_suppkey || '_' || e FROM supplier, (SELECT unnest(['min_min', 'median_min', 'max_min', 'median_boarding']) AS e) WHERE s_suppkey % 3 = 0""",
     "release_references": f"""WITH s AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 9 <> 4), e AS (SELECT o_orderkey AS id, o_custkey % 10 + 1 AS src FROM orders WHERE o_orderkey % 13 <> 5),
 b AS (SELECT c_custkey AS id, c_nationkey % 11 AS src FROM customer WHERE c_custkey % 10 <> 3), c AS (SELECT o_orderkey AS v, unnest([o_orderkey, o_orderkey - o_orderkey % 50]) AS id FROM orders WHERE o_orderkey % 7 <> 0)
 SELECT 'evidence_source' AS rule, CAST(id AS VARCHAR) AS record FROM e WHERE src NOT IN (SELECT id FROM s) UNION ALL SELECT 'building_source', CAST(id AS VARCHAR) FROM b WHERE src NOT IN (SELECT id FROM s)
