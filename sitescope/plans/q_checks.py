@@ -260,7 +260,7 @@ def _decisions(spark, sf):
     k = F.col("o_orderkey")
     pick = lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), (k % n).cast("int"))
     subject = pick(4, "VUOKRAUS", "Alivuokra", "Myynti", "asunnon vuokran tarkistus")
-    body = F.concat(pick(3, "TONTTIA ", "maa-alueen ", "laitteen "), pick(5, "Helsingin kaupungin ", "helsingin kaupunki ", "Espoon kaupungin ", "Uushelsingin kaupungin ", "Helsingin kaupungin "), F.lit("rakennus 10"), F.lpad((k % 1000).cast("string"), 7, "0"), pick(2, "a", "Ab"), F.lit("."))
+    body = F.concat(pick(3, "TONTTIA ", "maa-alueen ", "laitteen "), pick(5, "Helsingin kaupungin ", "helsingin KAUPUNGIN ", "Espoon kaupungin ", "Uushelsingin kaupungin ", "Helsingin kaupungin "), F.lit("rakennus 10"), F.lpad((k % 1000).cast("string"), 7, "0"), pick(2, "a", "Ab"), F.lit("."))
     return load(spark, sf, "orders").select("o_orderkey", subject.alias("subject"), body.alias("body"))
 
 
