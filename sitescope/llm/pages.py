@@ -13,8 +13,10 @@ runs.  Pages of a shard with equal blocks count as one page.  Blocks of
 ``article`` or ``main`` stay whole even if another page repeats them: a copied
 article is still that page's main text.
 
-Hosts of any size are dealt out, so a hot host is many shards; boilerplate is
-what repeats within a shard.
+Hosts of any size are dealt out, so a hot host is many shards.  What repeats is
+the same whatever the shards: where a host of several shards has a block that
+isn't marked, its shards exchange hashes of their runs, dealt by the run, and
+each shard gets back those of its open blocks that another page has too.
 
 Defined cases: null html gives an empty text; unclosed elements end with
 their parent; rows with a null url form hosts of their own by page id; an
@@ -24,6 +26,7 @@ rows; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections import Counter
@@ -35,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import chunks
+from sitescope.llm.common import chunks, drop_table, materialize, mix, pack, pack_sorted, unpack, unpack_sorted
 
 PAGES = 512
 RUN = 8
 CHUNK = 4 << 20
+#: Pages whose runs are sent together.
+SENT = 512
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "textarea", "title")}
@@ -239,16 +244,12 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray
     shared = np.zeros(int(group[-1]) + 1, bool)
     shared[group[1:][differ]] = True
     start = order[shared[group]]
-    start = start[start <= n - run]
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + run, -1)
-    return np.cumsum(edge[:n]) > 0
+    return _covered(start[start <= n - run], n, run)
 
 
-def main_texts(pages: list[list[Block]], run: int = RUN) -> list[tuple[str, int, int]]:
-    """Main text, number of tokens and number of covered tokens of each page
-    of one shard."""
+def _sequence(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], list[str]]:
+    """Tokens of all pages, the page of each, (page, begin, end) of each block
+    and the words that the tokens stand for.  A page ends with a token below 0."""
     ids: dict[str, int] = {}
     seq: list[int] = []
     page: list[int] = []
@@ -263,32 +264,149 @@ def main_texts(pages: list[list[Block]], run: int = RUN) -> list[tuple[str, int,
         # pages with equal blocks are one page: a copy repeats nothing
         same = first.setdefault(tuple(b.text for b in bs), i)
         page += [same] * (len(seq) - len(page))
-    hit = repeated(np.array(seq, np.int64), np.array(page, np.int64), run)
+    return np.array(seq, np.int64), np.array(page, np.int64), spans, list(ids)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def run_hashes(seq: np.ndarray, words: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of ``run`` tokens within a page begin, and their hashes,
+    which don't depend on the other pages."""
+    n = max(0, len(seq) - run + 1)
+    token = np.append(np.array([_hash(w) for w in words], np.uint64), np.uint64(0))[np.maximum(seq, -1)]
+    acc = np.zeros(n, np.uint64)
+    for j in range(run):
+        acc = mix(acc ^ token[j : j + n]) + np.uint64(j + 1)
+    ends = np.concatenate([[0], np.cumsum(seq < 0)])
+    at = np.flatnonzero(ends[run:] == ends[: len(ends) - run]) if n else np.zeros(0, np.int64)
+    return at, acc[at]
+
+
+def _covered(start: np.ndarray, n: int, run: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + run, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def main_texts(pages: list[list[Block]], run: int = RUN, also: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """Main text, number of tokens, and number of covered tokens in blocks that
+    aren't marked, of each page of one shard; ``also``: hashes of runs that
+    pages of other shards repeat."""
+    seq, page, spans, words = _sequence(pages)
+    hit = repeated(seq, page, run)
+    if also is not None and len(also):
+        at, hashes = run_hashes(seq, words, run)
+        hit |= _covered(at[np.isin(hashes, also)], len(seq), run)
     ends = np.concatenate([[0], np.cumsum(hit)])
     texts: list[list[str]] = [[] for _ in pages]
     n, c = [0] * len(pages), [0] * len(pages)
     flat = (b for bs in pages for b in bs)
     for (i, a, z), b in zip(spans, flat, strict=True):
-        k = int(ends[z] - ends[a])
-        n[i], c[i] = n[i] + z - a, c[i] + k
+        n[i] += z - a
         if b.chrome:
             continue
-        if b.main or k == 0:
+        if b.main:
             texts[i].append(b.text)
-        else:
-            kept = " ".join(w for w, h in zip(b.text.split(" "), hit[a:z].tolist(), strict=True) if not h)
-            if kept:
-                texts[i].append(kept)
+            continue
+        k = int(ends[z] - ends[a])
+        c[i] += k
+        kept = " ".join(w for w, h in zip(b.text.split(" "), hit[a:z].tolist(), strict=True) if not h) if k else b.text
+        if kept:
+            texts[i].append(kept)
     return [("\n".join(t), x, y) for t, x, y in zip(texts, n, c, strict=True)]
 
 
+# ---------------------------------------------------------------- runs of all shards of a host
+
+_SENT = "host string, bucket int, runs binary, classes binary, who binary, shards binary, flags binary"
+_WANT, _SEVERAL = 1, 2
+
+
+def _blocks_of(texts: pa.Array | pa.ChunkedArray, flags: pa.Array | pa.ChunkedArray) -> list[list[Block]]:
+    return [[Block(x, bool(f & 1), bool(f & 2)) for x, f in zip(a, b, strict=True)] for a, b in zip(texts.to_pylist(), flags.to_pylist(), strict=True)]
+
+
+def _heads(*sorted_: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    new = np.ones(len(sorted_[0]), bool)
+    new[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in sorted_])
+    return np.flatnonzero(new)
+
+
+def sent_runs(host: str, pages: list[list[Block]], shard: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    """Rows of ``_SENT``: the distinct runs of some pages of a host, each with
+    its shard and a class of equal pages; flags tell whether a block that isn't
+    marked has it, and whether pages of several classes have it."""
+    seq, page, spans, words = _sequence(pages)
+    at, runs = run_hashes(seq, words)
+    if not len(at):
+        return
+    bare = np.zeros(len(seq) + 1, np.int64)
+    for (_, a, z), b in zip(spans, (b for bs in pages for b in bs), strict=True):
+        if not (b.chrome or b.main):
+            bare[a + 1 : z + 1] = 1
+    bare = np.cumsum(bare)
+    want = bare[at + RUN] > bare[at]
+    classes = np.array([_hash("\n".join(b.text for b in bs)) for bs in pages], np.uint64)
+    of = np.repeat(np.arange(len(pages)), np.diff(np.flatnonzero(seq < 0), prepend=-1))[at]
+    bucket = (runs >> np.uint64(20)) % np.uint64(n_buckets)
+    order = np.lexsort((shard[of], runs, bucket))
+    runs, bucket, want, same, who = runs[order], bucket[order], want[order], page[at][order], shard[of][order]
+    head = _heads(runs, who)
+    several = np.minimum.reduceat(same, head) != np.maximum.reduceat(same, head)
+    flags = _WANT * np.logical_or.reduceat(want, head) + _SEVERAL * several
+    runs, bucket, same, who, flags = runs[head], bucket[head], same[head], who[head], flags.astype(np.uint8)
+    cuts = [*_heads(bucket).tolist(), len(runs)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        own, index = np.unique(same[a:z], return_inverse=True)
+        yield (host, int(bucket[a]), pack_sorted(runs[a:z]), pack(classes[own]), pack(index.astype(np.uint16)),
+               pack(who[a:z].astype(np.uint32)), pack(flags[a:z]))
+
+
+def shared_runs(t: pa.Table) -> Iterator[tuple[int, bytes]]:
+    """(shard, runs) of one bucket of a host: the runs of blocks that aren't
+    marked which pages of two classes or more have."""
+    cols = [t.column(c).to_pylist() for c in ("runs", "classes", "who", "shards", "flags")]
+    runs = np.concatenate([unpack_sorted(x) for x in cols[0]])
+    classes = np.concatenate([unpack(c)[unpack(w)] for c, w in zip(cols[1], cols[2], strict=True)])
+    shards, flags = (np.concatenate([unpack(x) for x in c]) for c in cols[3:])
+    order = np.argsort(runs, kind="stable")
+    runs, classes, shards, flags = runs[order], classes[order], shards[order], flags[order]
+    head = _heads(runs)
+    shared = (np.minimum.reduceat(classes, head) != np.maximum.reduceat(classes, head)) | (np.bitwise_or.reduceat(flags, head) & _SEVERAL > 0)
+    asked = np.repeat(shared, np.diff(head, append=len(runs))) & (flags & _WANT > 0)
+    runs, shards = runs[asked], shards[asked]
+    order = np.lexsort((runs, shards))
+    runs, shards = runs[order], shards[order]
+    if len(runs):
+        head = _heads(shards)
+        for part in np.split(np.arange(len(runs)), head[1:]):
+            yield int(shards[part[0]]), pack_sorted(np.unique(runs[part]))
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", per_shard: int = PAGES) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_tokens, n_covered."""
+    """One row per page: page_id, url, text, n_chars, n_tokens, n_covered (of
+    blocks that aren't marked)."""
     p = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.concat(F.lit("?"), F.col("page_id").cast("string")), F.lit("?"))
     p = p.withColumn("host", host)
     key_type, url_type = (p.schema[c].dataType.simpleString() for c in ("page_id", "url"))
 
+    # hosts with more pages than a shard holds; the others need no number
+    hot = p.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > per_shard)
+    hot = hot.select(F.col("host").alias("hot"), F.ceil(F.col("n") / per_shard).cast("int").alias("n_shards"))
+    many = [tuple(r) for r in hot.limit(HOT_HOSTS + 1).collect()]
+    if len(many) <= HOT_HOSTS:
+        hot = F.broadcast(pages.sparkSession.createDataFrame(sorted(many), "hot string, n_shards int"))
+
+    def with_shards(df: DataFrame) -> DataFrame:
+        df = df.join(hot, F.col("host") == F.col("hot"), "left") if many else df.withColumn("n_shards", F.lit(1))
+        n = F.coalesce("n_shards", F.lit(1))
+        return df.withColumns({"n_shards": n, "shard": F.pmod(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)), n).cast("int")}).drop("hot")
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             for c in chunks([b], "html", CHUNK):
@@ -300,35 +418,61 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     names=["page_id", "url", "host", "texts", "flags"],
                 )
 
-    parsed = p.mapInArrow(parse, f"page_id {key_type}, url {url_type}, host string, texts array<string>, flags array<tinyint>")
-    # hosts with more pages than a shard holds; the others need no number
-    hot = p.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > per_shard)
-    many = {r["host"]: -(-r["n"] // per_shard) for r in hot.limit(HOT_HOSTS + 1).collect()}
-    spread = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40))
-    if len(many) <= HOT_HOSTS:
-        shards = F.lit(1)
-        if many:
-            table = F.create_map(*[F.lit(x) for kv in sorted(many.items()) for x in kv])
-            shards = F.coalesce(F.element_at(table, F.col("host")), F.lit(1)) if len(many) <= 64 else None
-        if shards is None:
-            local = pages.sparkSession.createDataFrame(sorted(many.items()), "hot string, n_shards int")
-            parsed = parsed.join(F.broadcast(local), F.col("host") == F.col("hot"), "left")
-            shards = F.coalesce("n_shards", F.lit(1))
-    else:
-        counts = hot.select(F.col("host").alias("hot"), F.ceil(F.col("n") / per_shard).cast("int").alias("n_shards"))
-        parsed = parsed.join(counts, F.col("host") == F.col("hot"), "left")
-        shards = F.coalesce("n_shards", F.lit(1))
-    parsed = parsed.select("page_id", "url", "host", "texts", "flags", F.pmod(spread, shards).alias("shard"))
+    def parsed(df: DataFrame) -> DataFrame:
+        df = df.select("page_id", "url", "html", "host")
+        return with_shards(df.mapInArrow(parse, f"page_id {key_type}, url {url_type}, host string, texts array<string>, flags array<tinyint>"))
 
-    def shard_text(t: pa.Table) -> pa.Table:
-        texts, flags = t.column("texts").to_pylist(), t.column("flags").to_pylist()
-        got = main_texts([[Block(x, bool(f & 1), bool(f & 2)) for x, f in zip(a, b, strict=True)] for a, b in zip(texts, flags, strict=True)])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        fields = [f.split()[0] for f in _SENT.split(", ")]
+        for b in batches:
+            for i in range(0, b.num_rows, SENT):
+                t = pa.Table.from_batches([b.slice(i, SENT)])
+                hosts, n, shard = t.column("host").to_pylist(), t.column("n_shards").to_pylist(), t.column("shard").to_numpy()
+                all_pages = _blocks_of(t.column("texts"), t.column("flags"))
+                rows = []
+                for h in sorted(set(hosts)):
+                    at = [k for k, x in enumerate(hosts) if x == h]
+                    rows += sent_runs(h, [all_pages[k] for k in at], shard[at], n[at[0]])
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    types = [pa.string(), pa.int32()] + [pa.binary()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], names=fields)
+
+    def bucket_runs(keys: tuple, t: pa.Table) -> pa.Table:
+        got = list(shared_runs(t))
+        return pa.table({"host": pa.array([keys[0].as_py()] * len(got), pa.string()), "shard": pa.array([g[0] for g in got], pa.int32()), "runs": pa.array([g[1] for g in got], pa.binary())})
+
+    def with_texts(t: pa.Table, also: np.ndarray | None) -> pa.Table:
+        got = main_texts(_blocks_of(t.column("texts"), t.column("flags")), also=also)
         return pa.table({
             "page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array([g[0] for g in got], pa.string()),
             "n_tokens": pa.array([g[1] for g in got], pa.int64()), "n_covered": pa.array([g[2] for g in got], pa.int64()),
         })
 
-    out = parsed.groupBy("host", "shard").applyInArrow(shard_text, f"page_id {key_type}, url {url_type}, text string, n_tokens long, n_covered long")
+    def shard_text(t: pa.Table) -> pa.Table:
+        return with_texts(t, None)
+
+    def shard_text_with(t: pa.Table, shared: pa.Table) -> pa.Table:
+        runs = [unpack_sorted(x) for x in shared.column("runs").to_pylist()]
+        return with_texts(t, np.concatenate(runs) if runs else None)
+
+    result = f"page_id {key_type}, url {url_type}, text string, n_tokens long, n_covered long"
+    every = parsed(p).select("page_id", "url", "host", "shard", "texts", "flags")
+    open_hosts = None
+    if many:
+        # hosts of several shards where a block isn't marked
+        dealt = parsed(p.join(hot.select("hot"), F.col("host") == F.col("hot"), "left_semi") if len(many) <= HOT_HOSTS else p).where("n_shards > 1")
+        open_hosts = materialize(dealt.where(F.exists("flags", lambda f: f == 0)).select("host").distinct(), "pages-open")
+    if open_hosts is None or open_hosts.isEmpty():
+        out = every.groupBy("host", "shard").applyInArrow(shard_text, result)
+    else:
+        few = F.broadcast(open_hosts) if len(many) <= HOT_HOSTS else open_hosts
+        dealt = parsed(p.join(few, "host", "left_semi") if len(many) <= HOT_HOSTS else p).where("n_shards > 1").join(few, "host", "left_semi")
+        sent = dealt.select("host", "n_shards", "shard", "texts", "flags").mapInArrow(send, _SENT)
+        shared = materialize(sent.groupBy("host", "bucket").applyInArrow(bucket_runs, "host string, shard int, runs binary"), "pages-runs")
+        out = every.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInArrow(shard_text_with, result)
+    if open_hosts is not None:
+        drop_table(open_hosts)
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_tokens", "n_covered")
 
 
