@@ -1,7 +1,7 @@
 """Planar spatial operators: tiles, distances, joins by grid cell, areas.
 
 Predicates and measures on axis-parallel rectangles and points are column
-expressions.  Polygons of any shape go through one Arrow kernel, a sweep over
+expressions, unions of rectangles too.  Polygons of any shape go through one Arrow kernel, a sweep over
 vertical slabs, that gives the area of a polygon covered by a union of others
 (holes and self-crossing rings by the even-odd rule).
 """
@@ -117,6 +117,38 @@ def nearest(left: DataFrame, right: DataFrame, key: str, lx: str, ly: str, rkey:
     return found.unionByName(nowhere)
 
 
+def _boxes_area(boxes: Column) -> Column:
+    """Area of the union of boxes (y0, y1, x0, x1), none of them flat: a sweep
+    over the slabs between their distinct x, merging intervals of y in order."""
+    in_order = F.sort_array(boxes)
+    xs = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x0"]), F.transform(boxes, lambda b: b["x1"]))))
+
+    def height(lo: Column, hi: Column) -> Column:
+        def take(acc: Column, b: Column) -> Column:
+            more = F.greatest(b["y1"] - F.greatest(acc["top"], b["y0"]), b["y0"] - b["y0"])
+            grown = F.struct((acc["sum"] + more).alias("sum"), F.greatest(acc["top"], b["y1"]).alias("top"))
+            return F.when((b["x0"] <= lo) & (b["x1"] >= hi), grown).otherwise(acc)
+        y = in_order[0]["y0"]
+        return F.aggregate(in_order, F.struct((y - y).alias("sum"), y.alias("top")), take, lambda acc: acc["sum"])
+
+    slabs = F.zip_with(F.slice(xs, F.lit(1), F.size(xs) - 1), F.slice(xs, F.lit(2), F.size(xs) - 1), lambda lo, hi: ((hi - lo) * height(lo, hi)).cast("double"))
+    return F.aggregate(slabs, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def union_area(pairs: DataFrame, base: tuple[str, str, str, str], box: tuple[str, str, str, str], keys: list[str], out: str = "covered") -> DataFrame:
+    """``keys`` and the area of box ``base`` (in ``keys``) that the union of the
+    boxes paired with it covers; bases of which nothing is covered are left out."""
+    x0, y0 = (F.greatest(base[i], box[i]) for i in (0, 1))
+    x1, y1 = (F.least(base[i], box[i]) for i in (2, 3))
+    clipped = F.struct(y0.alias("y0"), y1.alias("y1"), x0.alias("x0"), x1.alias("x1"))
+    g = pairs.where((x0 < x1) & (y0 < y1)).groupBy(*keys).agg(F.collect_set(clipped).alias("_boxes"))
+    area = ((F.col(base[2]) - F.col(base[0])) * (F.col(base[3]) - F.col(base[1]))).cast("double")
+    one = F.col("_boxes")[0]
+    whole = F.exists("_boxes", lambda b: (b["x0"] == F.col(base[0])) & (b["x1"] == F.col(base[2])) & (b["y0"] == F.col(base[1])) & (b["y1"] == F.col(base[3])))
+    covered = F.when(whole, area).when(F.size("_boxes") == 1, ((one["x1"] - one["x0"]) * (one["y1"] - one["y0"])).cast("double")).otherwise(_boxes_area(F.col("_boxes")))
+    return g.withColumn(out, covered).drop("_boxes")
+
+
 # ---------------------------------------------------------------- polygons
 
 def slab_area(base: list[np.ndarray], others: list[list[np.ndarray]]) -> float:
