@@ -31,7 +31,7 @@ def test_unit_cells(spark):
     assert {r["k"]: r["covered"] for r in got.collect()} == want and len(want) > 50
 
 
-@pytest.mark.parametrize("name", ["category_shares"])
+@pytest.mark.parametrize("name", ["category_shares", "full_cover_class"])
 def test_copies_of_sites_and_zones(spark, tmp_path, name):
     """Repeated with shifted keys, as larger tables are; no row goes through Python."""
     src = "/root/testdata/sf0.001"
