@@ -8,7 +8,8 @@ similarity ``num / den`` or more share a word of their prefixes, the first
 prefix.  A frequent word is no key of its own: lines whose first shared word
 is frequent share two words of prefixes that are one word longer, and both
 together are the key.  Candidates pass a length, a positional and a bitmap
-filter and are verified on their whole sets.
+filter (of parities, in which common words cancel out) and are verified on
+their whole sets.
 
 The place of a class is its first line, by document id, then text, then line.
 A line is removed unless it is at the place of its class, and also there if
@@ -112,13 +113,16 @@ def _rarity(words: DataFrame) -> tuple[DataFrame, int]:
     return rows, min(31, 1 + math.floor(0.68 * math.log2(hot)))
 
 
-def _bits(half: int) -> Column:
-    """A bitmap of one half of the words: sets differ in as many words at
-    least as their bitmaps in bits."""
-    return F.aggregate(
-        "tokens", F.lit(0).cast("long"),
-        lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc),
-    )
+def _parities() -> tuple[Column, Column]:
+    """The parities of 64 buckets of all words, and of those with a seventh
+    bit.  Sets differ in as many words at least as their parities in bits:
+    words that both have cancel out, so that long lines tell apart too."""
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(63)).cast("int")
+    one = F.lit(1).cast("long")
+    every = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, place(x))))
+    upper = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(one), place(x))))
+    return every, upper
 
 
 def _need(n: str, num: int, den: int) -> Column:
@@ -137,10 +141,12 @@ def _prefixes(words: DataFrame, rarity: DataFrame, classes: DataFrame, num: int,
     rows = rows.where(F.col("n") * den >= (F.col("n") + 1) * num)
     rows = rows.select("uid", "n", "tokens", F.sort_array(by_rarity).alias("toks"))
     free = F.col("n") - _need("n", num, den)
+    every, upper = _parities()
     rows = rows.select(
         "uid", "n", free.alias("free"), F.slice("toks", F.lit(1), free + 2).alias("pre"),
-        _bits(0).alias("w0"), _bits(1).alias("w1"),
+        every.alias("every"), upper.alias("w1"),
     )
+    rows = rows.withColumn("w0", F.col("every").bitwiseXOR(F.col("w1")))
     return rows.join(classes.select("uid", "rank"), "uid").select("rank", "n", "free", "pre", "w0", "w1")
 
 
@@ -232,15 +238,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     # pairs of short lists, and each line of a long one with its earliest
     gone = verified(rows.where("a IS NOT NULL").select("a", F.col("rank").alias("b")))
     # lines of long lists that are still open, against all earlier ones
-    more = rows.where("token IS NOT NULL")
-    earlier = more.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
-    later = more.join(small(gone), "rank", "left_anti").select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = later.join(earlier, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
-    gone = gone.unionByName(verified(pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))))
+    def open_pairs(part: DataFrame) -> DataFrame:
+        more = part.where("token IS NOT NULL")
+        earlier = more.select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
+        later = more.join(small(gone), "rank", "left_anti").select("token", *[F.col(c).alias(f"b_{c}") for c in cols])
+        pairs = later.join(earlier, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
+        return pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))
+
+    found = [materialize(open_pairs(p), "lines-open") for p in passes]
+    gone = gone.unionByName(verified(functools.reduce(DataFrame.unionByName, found)))
 
     stay = classes.join(gone, "rank", "left_anti").groupBy("doc", "th").agg(F.sort_array(F.collect_list("no")).alias("stay"))
     stay = materialize(stay, "lines-stay")
-    for t in (words, classes, *passes):
+    for t in (words, classes, *passes, *found):
         drop_table(t)
     t = F.col(f"d.`{text}`")
     body = docs.select(*_place(F.col(f"`{key}`"), F.col(f"`{text}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
