@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitescope.plans.lineage import cut
@@ -135,6 +135,16 @@ def _boxes_area(boxes: Column) -> Column:
     return F.aggregate(slabs, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def outermost(boxes: DataFrame, box: tuple[str, str, str, str], by: list[str]) -> DataFrame:
+    """Distinct boxes of each ``by`` that lie in no other one with the same
+    lower left corner; their union is that of all."""
+    x0, y0, x1, y1 = box
+    tallest = boxes.groupBy(*by, x0, y0, x1).agg(F.max(y1).alias(y1))
+    wider = Window.partitionBy(*by, x0, y0).orderBy(F.col(x1).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    out = tallest.withColumn("_top", F.max(y1).over(wider))
+    return out.where(F.col("_top").isNull() | (F.col(y1) > F.col("_top"))).drop("_top")
+
+
 def union_area(pairs: DataFrame, base: tuple[str, str, str, str], box: tuple[str, str, str, str], keys: list[str], out: str = "covered") -> DataFrame:
     """``keys`` and the area of box ``base`` (in ``keys``) that the union of the
     boxes paired with it covers; bases of which nothing is covered are left out."""

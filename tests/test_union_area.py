@@ -43,3 +43,29 @@ def test_copies_of_sites_and_zones(spark, tmp_path, name):
     plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" not in plan
     assert differences(spark, connect(str(tmp_path)), query, catalog.SQL[name], str(tmp_path)) == ""
+
+
+def test_outermost_boxes(spark):
+    rows = [(c, 0, 0, x, y) for c in ("a", "b", None) for x, y in ((5, 5), (5, 5), (3, 3), (9, 2), (9, 1), (2, 9), (2, 8), (None, 4))]
+    df = spark.createDataFrame([*rows, ("a", 1, 0, 2, 2)], "c string, x long, y long, x1 long, y1 long")
+    got = spatial.outermost(df, ("x", "y", "x1", "y1"), ["c"]).where("x1 IS NOT NULL").select("c", "x", "y", "x1", "y1").collect()
+    want = [(c, 0, 0, *e) for c in ("a", "b", None) for e in ((5, 5), (9, 2), (2, 9))] + [("a", 1, 0, 2, 2)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", ["category_shares", "full_cover_class"])
+def test_copies_of_other_sizes_add_no_pairs(spark, tmp_path, name, monkeypatch):
+    """Copies of zones that differ in size share a corner: one of them counts."""
+    src = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("customer", "nation"):
+        con.execute(f"COPY (SELECT * FROM '{src}/{t}.parquet') TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    con.execute(
+        f"COPY (SELECT t.* REPLACE (p_partkey + i * 20000 AS p_partkey, 1 + (p_size + i * 7) % 50 AS p_size) FROM '{src}/part.parquet' t, range(6) r(i)) TO '{tmp_path}/part.parquet' (FORMAT parquet)"
+    )
+    taken = []
+    area = spatial.union_area
+    monkeypatch.setattr(spatial, "union_area", lambda pairs, *a: taken.append(pairs) or area(pairs, *a))
+    assert differences(spark, connect(str(tmp_path)), catalog.QUERIES[name], catalog.SQL[name], str(tmp_path)) == ""
+    of = ["x", "y", "w", "h", "zx", "zy", *(["category"] if name == "category_shares" else [])]
+    assert taken[0].select(*of).distinct().count() == taken[0].count() > 0
