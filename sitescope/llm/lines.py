@@ -113,16 +113,25 @@ def _rarity(words: DataFrame) -> tuple[DataFrame, int]:
     return rows, min(31, 1 + math.floor(0.68 * math.log2(hot)))
 
 
+def _halves() -> tuple[Column, Column]:
+    """The parities of 64 buckets of the words below and above the middle of
+    all hashes: two sums over half of the words each.  Sets differ in as many
+    words at least as their parities in bits: words that both have cancel out,
+    so that long lines tell apart too."""
+    one, middle = F.lit(1).cast("long"), F.lit(1 << (HASH_BITS - 1))
+    in_order = F.sort_array(F.array_append("tokens", middle))
+    cut = F.array_position(in_order, middle).cast("int")
+
+    def parity(tokens: Column) -> Column:
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+    # a word that is the middle itself stands after the mark
+    return parity(F.slice(in_order, F.lit(1), cut - 1)), parity(F.slice(in_order, cut + 1, F.size(in_order)))
+
+
 def _parities() -> tuple[Column, Column]:
-    """The parities of 64 buckets of all words, and of those with a seventh
-    bit.  Sets differ in as many words at least as their parities in bits:
-    words that both have cancel out, so that long lines tell apart too."""
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(63)).cast("int")
-    one = F.lit(1).cast("long")
-    every = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, place(x))))
-    upper = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(one), place(x))))
-    return every, upper
+    """The parities of all words, and of those above the middle."""
+    lower, upper = _halves()
+    return lower.bitwiseXOR(upper), upper
 
 
 def _need(n: str, num: int, den: int) -> Column:
@@ -141,20 +150,20 @@ def _prefixes(words: DataFrame, rarity: DataFrame, classes: DataFrame, num: int,
     rows = rows.where(F.col("n") * den >= (F.col("n") + 1) * num)
     rows = rows.select("uid", "n", "tokens", F.sort_array(by_rarity).alias("toks"))
     free = F.col("n") - _need("n", num, den)
-    every, upper = _parities()
+    lower, upper = _halves()
     rows = rows.select(
-        "uid", "n", free.alias("free"), F.slice("toks", F.lit(1), free + 2).alias("pre"),
-        every.alias("every"), upper.alias("w1"),
+        "uid", "n", free.alias("free"), F.slice("toks", F.lit(1), free + 2).alias("pre"), lower.alias("w0"), upper.alias("w1"),
     )
-    rows = rows.withColumn("w0", F.col("every").bitwiseXOR(F.col("w1")))
     return rows.join(classes.select("uid", "rank"), "uid").select("rank", "n", "free", "pre", "w0", "w1")
 
 
-def _keys(prefixes: DataFrame, hot: int) -> DataFrame:
-    """(token, pos, rank, n, w0, w1): the keys of each prefix."""
+def _keys(prefixes: DataFrame, hot: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(token, pos, rank, n, w0, w1): the keys of each prefix, or the part of
+    them that begins with some of the words."""
     seen, hot_key = F.lit(1 << HASH_BITS), F.lit(hot << HASH_BITS)
     at = prefixes.select("rank", "n", "free", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
     at = at.where((F.col("t") >= seen) & ((F.col("t") >= hot_key) | (F.col("pos") <= F.col("free"))))
+    at = at.where(F.pmod("t", F.lit(parts)) == part)
     # a frequent word goes with each word after it, which is as frequent
     after = F.when(F.col("t") >= hot_key, F.slice("pre", F.col("pos") + 2, F.size("pre"))).otherwise(F.array("t"))
     at = at.select("rank", "n", "pos", "t", "w0", "w1", F.explode(after).alias("u"))
@@ -192,7 +201,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     def pairs_or_lines(part: int) -> DataFrame:
         """Pairs (a, rank) that may match; the lines of keys that many have
         come with their key, as pairs with the earliest one."""
-        keys = _keys(prefixes, hot).where(F.pmod("token", F.lit(PASSES)) == part).repartition("token")
+        keys = _keys(prefixes, hot, part, PASSES).repartition("token")
         lines = keys.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
         # all pairs of a few lines
         a, b = (x.select("token", *[F.col(c).alias(f"{n}_{c}") for c in cols]) for x, n in ((keys, "a"), (lines.where(F.col("k") <= FEW_LINES), "b")))

@@ -42,3 +42,31 @@ def test_parities_lose_nothing(spark):
         for j, b in enumerate(sets):
             differ = sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
             assert differ <= len(set(a) ^ set(b))
+
+
+def test_halves_sum_each_word_once(spark):
+    middle = 1 << (lines.HASH_BITS - 1)
+    sets = [[5, middle + 9], [middle], [middle - 1, middle, 3], [64, 128, middle + 64], []]
+    df = spark.createDataFrame(list(enumerate(sets)), "i int, tokens array<long>")
+    lower, upper = lines._halves()
+    got = {r["i"]: (r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in df.select("i", lower.alias("a"), upper.alias("b")).collect()}
+    for i, s in enumerate(sets):
+        want = [0, 0]
+        for x in s:
+            want[x >= middle] ^= 1 << (x & 63)
+        assert got[i] == tuple(want)
+
+
+def test_parts_of_keys_are_all_keys(spark):
+    """A part makes its own keys alone; each key, of two words too, is in one part."""
+    rng = random.Random(4)
+    rows = [(i, 20, 4, sorted((rng.randrange(4) << lines.HASH_BITS) | rng.getrandbits(57) for _ in range(6)), 1, 2) for i in range(50)]
+    pre = spark.createDataFrame(rows, "rank long, n int, free int, pre array<long>, w0 long, w1 long")
+
+    def keys(*a):
+        return sorted((r["token"], r["rank"], r["pos"]) for r in lines._keys(pre, 2, *a).collect())
+
+    parts = [keys(p, 3) for p in range(3)]
+    assert sorted(x for p in parts for x in p) == keys() and all(parts)
+    tokens = [{x[0] for x in p} for p in parts]
+    assert not (tokens[0] & tokens[1] or tokens[0] & tokens[2] or tokens[1] & tokens[2])
