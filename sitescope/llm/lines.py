@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its distinct words, each a 58-bit hash.  Lines with equal sets are one class.  Words are ordered by rarity: a
+A line is the set of its distinct words, each a 57-bit hash.  Lines with equal sets are one class.  Words are ordered by rarity: a
 table of ``2**BUCKET_BITS`` counts, of fixed size whatever the corpus, gives
 the level, and the hash decides within a level.  Two sets of Jaccard
 similarity ``num / den`` or more share a word of their prefixes, the first
@@ -39,7 +39,13 @@ from sitescope.llm.common import drop_table, materialize, without
 
 NUM, DEN = 80, 100
 #: Bits of a word's hash, below the rarity level.
-HASH_BITS = 58
+HASH_BITS = 57
+#: Levels of rarity for each doubling of a word's count: the fewer, the more
+#: frequent words get into prefixes before rarer ones of the same level, and
+#: their lists grow with the corpus.
+LEVELS = 1.6
+#: Lines with more words have a second bitmap.
+ONE_BITMAP = 48
 #: The counts are a square table: half of the bits are the row.
 BUCKET_BITS = 20
 #: A word is frequent from this count on, or this many times the mean count.
@@ -65,8 +71,8 @@ def _lines(text):
 
 
 def _level(count: Column) -> Column:
-    """0 for a word seen once; else 1 to 31."""
-    return F.when(count <= 1, 0).otherwise(F.least(F.lit(31), 1 + F.floor(0.68 * F.log2(count)))).cast("long")
+    """0 for a word seen once; else 1 to 63."""
+    return F.when(count <= 1, 0).otherwise(F.least(F.lit(63), 1 + F.floor(LEVELS * F.log2(count)))).cast("long")
 
 
 def _place(doc: str | Column, text) -> list[Column]:
@@ -110,28 +116,36 @@ def _rarity(words: DataFrame) -> tuple[DataFrame, int]:
     rows = materialize(rows, "lines-rarity")
     total = rows.agg(F.sum("n")).first()[0] or 0
     hot = max(HOT_COUNT, HOT_MEANS * total / (1 << BUCKET_BITS))
-    return rows, min(31, 1 + math.floor(0.68 * math.log2(hot)))
+    return rows, min(63, 1 + math.floor(LEVELS * math.log2(hot)))
+
+
+def _parities() -> tuple[Column, Column]:
+    """The parities of 64 buckets of all words, and of those above the middle
+    of all hashes.  Sets differ in as many words at least as their parities in
+    bits: words that both have cancel out, so that long lines tell apart too."""
+
+    def parity(bit) -> Column:
+        return F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return parity(lambda x: F.lit(1).cast("long")), parity(lambda x: (x >= F.lit(1 << (HASH_BITS - 1))).cast("long"))
 
 
 def _halves() -> tuple[Column, Column]:
-    """The parities of 64 buckets of the words below and above the middle of
-    all hashes: two sums over half of the words each.  Sets differ in as many
-    words at least as their parities in bits: words that both have cancel out,
-    so that long lines tell apart too."""
-    one, middle = F.lit(1).cast("long"), F.lit(1 << (HASH_BITS - 1))
-    in_order = F.sort_array(F.array_append("tokens", middle))
-    cut = F.array_position(in_order, middle).cast("int")
+    """The parities of the words below the middle, and of those above."""
+    every, upper = _parities()
+    return every.bitwiseXOR(upper), upper
 
-    def parity(tokens: Column) -> Column:
-        return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
-    # a word that is the middle itself stands after the mark
-    return parity(F.slice(in_order, F.lit(1), cut - 1)), parity(F.slice(in_order, cut + 1, F.size(in_order)))
 
+def _bitmaps() -> tuple[Column, Column]:
+    """The parities of all words, and for long lines those above the middle."""
+    every, upper = _parities()
+    return every, F.when(F.col("n") > ONE_BITMAP, upper)
 
-def _parities() -> tuple[Column, Column]:
-    """The parities of all words, and of those above the middle."""
-    lower, upper = _halves()
-    return lower.bitwiseXOR(upper), upper
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which the bitmaps of two lines differ; both halves count where
+    both lines are long."""
+    every, upper = (F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}")) for w in ("w0", "w1"))
+    return F.coalesce(F.bit_count(upper) + F.bit_count(every.bitwiseXOR(upper)), F.bit_count(every))
 
 
 def _need(n: str, num: int, den: int) -> Column:
@@ -150,10 +164,8 @@ def _prefixes(words: DataFrame, rarity: DataFrame, classes: DataFrame, num: int,
     rows = rows.where(F.col("n") * den >= (F.col("n") + 1) * num)
     rows = rows.select("uid", "n", "tokens", F.sort_array(by_rarity).alias("toks"))
     free = F.col("n") - _need("n", num, den)
-    lower, upper = _halves()
-    rows = rows.select(
-        "uid", "n", free.alias("free"), F.slice("toks", F.lit(1), free + 2).alias("pre"), lower.alias("w0"), upper.alias("w1"),
-    )
+    w0, w1 = _bitmaps()
+    rows = rows.select("uid", "n", free.alias("free"), F.slice("toks", F.lit(1), free + 2).alias("pre"), w0.alias("w0"), w1.alias("w1"))
     return rows.join(classes.select("uid", "rank"), "uid").select("rank", "n", "free", "pre", "w0", "w1")
 
 
@@ -161,13 +173,14 @@ def _keys(prefixes: DataFrame, hot: int, part: int = 0, parts: int = 1) -> DataF
     """(token, pos, rank, n, w0, w1): the keys of each prefix, or the part of
     them that begins with some of the words."""
     seen, hot_key = F.lit(1 << HASH_BITS), F.lit(hot << HASH_BITS)
-    at = prefixes.select("rank", "n", "free", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
-    at = at.where((F.col("t") >= seen) & ((F.col("t") >= hot_key) | (F.col("pos") <= F.col("free"))))
-    at = at.where(F.pmod("t", F.lit(parts)) == part)
+    of_part = F.pmod("t", F.lit(parts)) == part
+    line = ("rank", "n", "pos", "w0", "w1")
+    ones = prefixes.select("rank", "n", "free", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
+    ones = ones.where((F.col("t") >= seen) & (F.col("t") < hot_key) & (F.col("pos") <= F.col("free")) & of_part)
     # a frequent word goes with each word after it, which is as frequent
-    after = F.when(F.col("t") >= hot_key, F.slice("pre", F.col("pos") + 2, F.size("pre"))).otherwise(F.array("t"))
-    at = at.select("rank", "n", "pos", "t", "w0", "w1", F.explode(after).alias("u"))
-    return at.select(F.when(F.col("t") >= hot_key, F.hash("t", "u")).otherwise(F.hash("t")).alias("token"), "rank", "n", "pos", "w0", "w1")
+    at = prefixes.where(F.element_at("pre", -1) >= hot_key).select("rank", "n", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
+    at = at.where((F.col("t") >= hot_key) & of_part).withColumn("u", F.explode(F.slice("pre", F.col("pos") + 2, F.size("pre"))))
+    return ones.select(F.hash("t").alias("token"), *line).unionByName(at.select(F.hash("t", "u").alias("token"), *line))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -192,8 +205,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
         n = na + nb
         # words from the shared one on, and those before it, bound the overlap
         position = F.least(na - pa, nb - pb) + F.least(pa, pb)
-        differ = sum(F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in ("w0", "w1"))
-        return (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (position * (num + den) >= n * num) & (differ * (num + den) <= n * (den - num))
+        return (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (position * (num + den) >= n * num) & (_differ(a, b) * (num + den) <= n * (den - num))
 
     cols = ("rank", "n", "pos", "w0", "w1")
     of = Window.partitionBy("token")
