@@ -173,14 +173,13 @@ def _keys(prefixes: DataFrame, hot: int, part: int = 0, parts: int = 1) -> DataF
     """(token, pos, rank, n, w0, w1): the keys of each prefix, or the part of
     them that begins with some of the words."""
     seen, hot_key = F.lit(1 << HASH_BITS), F.lit(hot << HASH_BITS)
-    of_part = F.pmod("t", F.lit(parts)) == part
-    line = ("rank", "n", "pos", "w0", "w1")
-    ones = prefixes.select("rank", "n", "free", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
-    ones = ones.where((F.col("t") >= seen) & (F.col("t") < hot_key) & (F.col("pos") <= F.col("free")) & of_part)
+    at = prefixes.select("rank", "n", "free", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
+    at = at.where((F.col("t") >= seen) & ((F.col("t") >= hot_key) | (F.col("pos") <= F.col("free"))) & (F.pmod("t", F.lit(parts)) == part))
     # a frequent word goes with each word after it, which is as frequent
-    at = prefixes.where(F.element_at("pre", -1) >= hot_key).select("rank", "n", "pre", "w0", "w1", F.posexplode("pre").alias("pos", "t"))
-    at = at.where((F.col("t") >= hot_key) & of_part).withColumn("u", F.explode(F.slice("pre", F.col("pos") + 2, F.size("pre"))))
-    return ones.select(F.hash("t").alias("token"), *line).unionByName(at.select(F.hash("t", "u").alias("token"), *line))
+    after = F.slice("pre", F.col("pos") + 2, F.size("pre"))
+    at = at.withColumn("u", F.explode(F.when(F.col("t") < hot_key, F.array(F.lit(None).cast("long"))).otherwise(after)))
+    # the hash of a word and null is that of the word
+    return at.select(F.hash("t", "u").alias("token"), "rank", "n", "pos", "w0", "w1")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -213,14 +212,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = N
     def pairs_or_lines(part: int) -> DataFrame:
         """Pairs (a, rank) that may match; the lines of keys that many have
         come with their key, as pairs with the earliest one."""
-        keys = _keys(prefixes, hot, part, PASSES).repartition("token")
-        lines = keys.withColumns({"k": F.count("*").over(of), "e": F.min(F.struct(*cols)).over(of)}).where("k > 1")
+        # the join asks for these anyway; as all plans do, they share one exchange
+        keys = _keys(prefixes, hot, part, PASSES).where("rank IS NOT NULL AND n IS NOT NULL").repartition("token")
+        lines = keys.withColumn("k", F.count("*").over(of)).where("k > 1")
         # all pairs of a few lines
         a, b = (x.select("token", *[F.col(c).alias(f"{n}_{c}") for c in cols]) for x, n in ((keys, "a"), (lines.where(F.col("k") <= FEW_LINES), "b")))
         pairs = b.join(a, "token").where((F.col("a_rank") < F.col("b_rank")) & may_match("a_", "b_"))
         pairs = pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("rank"))
         # many: each line and the earliest one
-        lines = lines.where(F.col("k") > FEW_LINES).select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
+        lines = lines.where(F.col("k") > FEW_LINES).withColumn("e", F.min(F.struct(*cols)).over(of)).select("token", *cols, *[F.col(f"e.{c}").alias(f"e_{c}") for c in cols])
         star = F.when((F.col("e_rank") < F.col("rank")) & may_match("", "e_"), F.col("e_rank"))
         return lines.select("token", star.alias("a"), *cols).unionByName(pairs, allowMissingColumns=True)
 
